@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chainloom.llm.decontaminate import contamination
 from chainloom.llm.exactdedup import exact_groups
 from chainloom.llm.simhash import near_groups
+from chainloom.llm.substrings import kept_words
 from chainloom.llm.tokencount import token_counts
 
 
@@ -16,6 +17,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return kept_words(table(spark, folder, "documents")).drop("kept")
+
+
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
@@ -35,6 +40,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
