@@ -1,10 +1,12 @@
 """Exact dedup by a content sort.
 
-Sampled splitters range-partition the rows by (normalised text, doc_id); the
-doc_id in the key lets a group of any size span partitions. External sorting
-puts equal texts side by side, and a full comparison of each row with its
-neighbour finds the runs. Only the first and the last run of a partition can
-go on in another one: at most two rows a partition are merged afterwards.
+Sampled splitters range-partition the rows by (first characters of the
+normalised text, its hash, doc_id): the sample that the driver gathers holds
+no whole texts, and the doc_id lets a group of any size span partitions.
+External sorting by (first characters, hash, text, doc_id) puts equal texts
+side by side, and a full comparison of each row with its neighbour finds the
+runs. Only runs with the first or the last key of a partition can go on in
+another one: about two rows a partition are merged afterwards.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from chainloom.llm.text import pieces, raw
 from chainloom.session import written
 
+#: Characters of a text in the key of the range partition.
+HEAD = 24
 RUNS = "doc_id long, part int, run long, lead_id long, n long, lead boolean, edge boolean, text_sha256 string, edge_text binary"
 
 
@@ -28,45 +32,49 @@ def normalised(text: Column) -> Column:
 
 
 def _runs(batches):
-    """Rows in order of (text, doc_id) -> the same rows with the run that each belongs to."""
-    part, run, text, ids = TaskContext.get().partitionId(), 0, None, []
-
-    def rows(edge: bool):
-        n, digest = len(ids), hashlib.sha256(text).hexdigest()
-        return pa.record_batch(
-            [
-                pa.array(ids, pa.int64()),
-                pa.array([part] * n, pa.int32()),
-                pa.array([run] * n, pa.int64()),
-                pa.array([ids[0]] * n, pa.int64()),
-                pa.array([n] * n, pa.int64()),
-                pa.array([True] + [False] * (n - 1)),
-                pa.array([edge] * n),
-                pa.array([digest] * n),
-                pa.array(([text] if edge else [None]) + [None] * (n - 1), pa.binary()),
-            ],
-            names=[f.split()[0] for f in RUNS.split(", ")],
-        )
-
-    held: list[pa.RecordBatch] = []
+    """Rows in order of (head, hash, text, doc_id) -> the same rows with the run that each belongs to."""
+    part, run, key, text, ids, first = TaskContext.get().partitionId(), 0, None, None, [], True
+    names = [f.split()[0] for f in RUNS.split(", ")]
+    done: list[pa.RecordBatch] = []
+    same: list[tuple] = []  # the runs of this key, of which there are several only if hashes collide
+
+    def rows(run: int, ids: list, text: bytes, edge: bool):
+        n = len(ids)
+        columns = [
+            pa.array(ids, pa.int64()),
+            pa.array([part] * n, pa.int32()),
+            pa.array([run] * n, pa.int64()),
+            pa.array([ids[0]] * n, pa.int64()),
+            pa.array([n] * n, pa.int64()),
+            pa.array([True] + [False] * (n - 1)),
+            pa.array([edge] * n),
+            pa.array([hashlib.sha256(text).hexdigest()] * n),
+            pa.array(([text] if edge else [None]) + [None] * (n - 1), pa.binary()),
+        ]
+        return pa.record_batch(columns, names=names)
+
     for batch in pieces(batches, "text", 8 << 20):
         data, offsets = raw(batch.column("text"))
         data = data.tobytes()
+        heads, hashes = batch.column("head").to_pylist(), batch.column("hash").to_pylist()
         for i, doc in enumerate(batch.column("doc_id").to_pylist()):
             this = data[offsets[i] : offsets[i + 1]]
             if this != text:
                 if text is not None:
-                    held.append(rows(run == 0))
+                    same.append((run, ids, text))
                     run += 1
-                    if len(held) >= 2000:
-                        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                        held = []
                 text, ids = this, []
+            if key != (heads[i], hashes[i]):
+                done += [rows(*x, edge=first) for x in same]
+                first = first and not same
+                same, key = [], (heads[i], hashes[i])
             ids.append(doc)
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+            done = []
     if text is not None:
-        held.append(rows(True))
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+        same.append((run, ids, text))
+        yield from pa.Table.from_batches([rows(*x, edge=True) for x in same]).combine_chunks().to_batches()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,8 +86,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
-    order = (F.col("text").asc(), F.col("doc_id").asc_nulls_last())
-    runs = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, RUNS), "exact-runs")
+    rows = rows.select(F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"), "text", "doc_id")
+    last = F.col("doc_id").asc_nulls_last()
+    dealt = rows.repartitionByRange(F.col("head"), F.col("hash"), last).sortWithinPartitions("head", "hash", "text", last)
+    runs = written(dealt.mapInArrow(_runs, RUNS), "exact-runs")
     edges = runs.where("edge and lead")
     first = F.struct("part", "run")
     whole = edges.groupBy("edge_text").agg(F.sum("n").alias("n"), F.min(first).alias("first"), F.min_by("lead_id", first).alias("lead_id"))
