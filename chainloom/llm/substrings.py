@@ -28,13 +28,29 @@ from chainloom.llm.text import SPACES, U, Words, mixed, pieces, spans
 
 WINDOW, MINIMISER = 35, 4
 #: Windows of a packed string at most; bytes of text that a task packs at once; packed bytes that a bucket is meant to hold.
-RUN, FLUSH, BUCKET = 255, 12 << 20, 4 << 20
+RUN, FLUSH, BUCKET = 255, 10 << 20, 2 << 20
 #: Documents in the sample that finds frequent minimisers, and the share of them from which one is frequent.
 SAMPLE, SHARE = 4000, 0.004
 NONE = np.iinfo(np.int64).min
 
 #: A packed string in a blob: the document (doc_id and hash of its text), first word, windows, whether it is known to repeat.
-HEADER = np.dtype([("id", "<i8"), ("text", "<i8"), ("at", "<i4"), ("n", "<i4"), ("twice", "<i4")])
+HEADER = np.dtype([("id", "<i8"), ("text", "<i8"), ("at", "<i4"), ("n", "<u2"), ("twice", "<u1")])
+LEVEL = 5
+
+
+def pressed(head: np.ndarray, body: bytes) -> bytes:
+    """Headers, column by column, and the packed strings, compressed."""
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join([*(head[c].tobytes() for c in HEADER.names), body]))
+
+
+def opened(n: int, blob: bytes) -> tuple[np.ndarray, bytes]:
+    """The n headers and the packed strings of a blob."""
+    data, head, at = zstandard.ZstdDecompressor().decompress(blob), np.zeros(n, HEADER), 0
+    for c in HEADER.names:
+        size = n * HEADER[c].itemsize
+        head[c] = np.frombuffer(data[at : at + size], HEADER[c])
+        at += size
+    return head, data[at:]
 
 
 def rolling(values: np.ndarray, n: int) -> np.ndarray:
@@ -82,7 +98,10 @@ def _arrays(batch):
 
 
 class Packer:
-    """Gathers packed strings and turns them into rows (bucket, header, body)."""
+    """Gathers packed strings and turns them into rows (bucket, n, blob).
+
+    A negative n is of headers alone: of windows that are known to repeat.
+    """
 
     def __init__(self, buckets: int):
         self.buckets, self.size, self.flushed = buckets, 0, 0
@@ -109,6 +128,10 @@ class Packer:
                 self.known.append((i, t, start, count))
         self.size += len(text)
 
+    @staticmethod
+    def batch(bucket, n, blobs):
+        return pa.record_batch([pa.array(bucket, pa.int64()), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "n", "blob"])
+
     def rows(self):
         """A row for each bucket, and one for what is known to repeat."""
         self.flushed += 1
@@ -116,22 +139,17 @@ class Packer:
             bucket = np.array(self.bucket)
             order = np.argsort(bucket, kind="stable")
             cut = np.concatenate([np.flatnonzero(np.diff(bucket[order], prepend=-1)), [len(order)]])
-            head, text, press = np.array(self.head, HEADER), list(self.at), zstandard.ZstdCompressor(level=1)
-            heads, bodies = [], []
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                own = order[a:b]
-                heads.append(head[own].tobytes())
-                bodies.append(press.compress(b"\n".join([text[k] for k in own.tolist()])))
-            yield pa.record_batch([pa.array(bucket[order][cut[:-1]]), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], names=["bucket", "head", "body"])
+            head, text = np.array(self.head, HEADER), list(self.at)
+            owns = [order[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+            blobs = [pressed(head[own], b"\n".join([text[k] for k in own.tolist()])) for own in owns]
+            yield self.batch(bucket[order][cut[:-1]], np.diff(cut), blobs)
         if self.known:
             known = np.zeros(len(self.known), HEADER)
             for name, column in zip(("id", "text", "at", "n"), zip(*self.known, strict=True), strict=True):
                 known[name] = column
-            to = (known["text"].view(U) % U(self.buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            spread = max(1, len(order) // 4096)
-            parts = np.array_split(order, spread)
-            yield pa.record_batch([pa.array([int(to[p[0]]) for p in parts]), pa.array([known[p].tobytes() for p in parts], pa.binary()), pa.array([None] * len(parts), pa.binary())], names=["bucket", "head", "body"])
+            parts = np.array_split(known, max(1, len(known) // 4096))
+            to = [int(p["text"][0]) % self.buckets for p in parts]
+            yield self.batch(np.array(to), np.array([-len(p) for p in parts]), [pressed(p, b"") for p in parts])
         self.at, self.head, self.bucket, self.known, self.size = {}, [], [], [], 0
 
 
@@ -171,7 +189,7 @@ def repeated(head: np.ndarray, bodies: list[bytes], window: int) -> list[np.ndar
     pack = np.repeat(ends[0], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
     lo = np.maximum(np.repeat(a, span), cuts[pack] - n[pack])
     hi = np.minimum(np.repeat(b, span), cuts[pack])
-    return [head["id"][pack], head["text"][pack], head["at"][pack] + (lo - cuts[pack] + n[pack]), hi - lo]
+    return [head["id"][pack], head["text"][pack], head["at"][pack].astype(np.int64) + (lo - cuts[pack] + n[pack]), hi - lo]
 
 
 def frequent(docs: DataFrame, window: int, m: int, sample: int = SAMPLE, share: float = SHARE) -> np.ndarray:
@@ -212,9 +230,9 @@ def repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFr
         yield from packer.rows()
 
     def count(batches):
-        heads: list[bytes] = []
+        heads: list[np.ndarray] = []
         bodies: list[bytes] = []
-        current, press = None, zstandard.ZstdDecompressor()
+        current = None
 
         def out(columns):
             if not len(columns[0]):
@@ -224,22 +242,22 @@ def repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFr
 
         def done():
             if bodies:
-                yield from out(repeated(np.frombuffer(b"".join(heads), HEADER), bodies, window))
+                yield from out(repeated(np.concatenate(heads), bodies, window))
 
         for batch in batches:
-            for bucket, head, body in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if body is None:
-                    known = np.frombuffer(head, HEADER)
-                    yield from out([known[c] for c in ("id", "text", "at", "n")])
+            for bucket, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                head, body = opened(abs(n), blob)
+                if n < 0:
+                    yield from out([head[c] for c in ("id", "text", "at", "n")])
                     continue
                 if bucket != current:
                     yield from done()
                     heads, bodies, current = [], [], bucket
                 heads.append(head)
-                bodies.append(press.decompress(body))
+                bodies.append(body)
         yield from done()
 
-    packed = docs.mapInArrow(pack, "bucket long, head binary, body binary")
+    packed = docs.mapInArrow(pack, "bucket long, n int, blob binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(count, "doc_id long, key long, at long, n long")
 
 
