@@ -27,7 +27,7 @@ from chainloom.llm.text import mixed, pieces, raw, spans
 
 SPACE = "▁"
 #: Bytes of text that are encoded at once, and symbols of a stretch from which it is relaxed alone.
-BATCH, LONG = 4 << 20, 40
+BATCH, LONG = 2 << 20, 40
 GAP = 0xFF  # in no UTF-8 text
 
 
@@ -121,33 +121,23 @@ class Model:
         word = np.zeros(n + 8 * self.width, np.uint64)
         for k in range(8):
             word |= padded[k : k + len(word)] << np.uint64(56 - 8 * k)
-        suffixes = np.argsort(word[:n], kind="stable")
-        rank = np.zeros(n + 8 * self.width, np.int64)
-        depth = 8
-        while depth < 8 * self.width:  # by twice as many bytes each time
-            if depth == 8:
-                key = word[suffixes]
-                new = np.concatenate([[True], key[1:] != key[:-1]])
-            rank[suffixes] = np.cumsum(new)
-            if new.all():
-                break
-            pair = rank[:n] * (n + 2) + rank[depth : depth + n] if depth < len(rank) - n else rank[:n] * (n + 2)
-            suffixes = np.argsort(pair, kind="stable")
-            new = np.concatenate([[True], pair[suffixes][1:] != pair[suffixes][:-1]])
-            depth *= 2
-        lo, hi = np.zeros(len(self.sizes), np.int64), np.full(len(self.sizes), n, np.int64)
+        suffixes = np.argsort(word[:n])
         first = word[suffixes]
         lo, hi = np.searchsorted(first, self.low[:, 0], "left"), np.searchsorted(first, self.high[:, 0], "right")
-        for k in range(1, self.width):
+        for k in range(1, self.width):  # suffixes are put in order by further bytes where longer pieces can start
             more = np.flatnonzero((self.sizes > 8 * k) & (lo < hi))
+            begin, of = np.unique(lo[more], return_index=True)
+            size = hi[more][of] - begin
+            group = np.repeat(np.arange(len(begin)), size)
+            rows = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+            suffixes[rows] = suffixes[rows][np.lexsort((word[suffixes[rows] + 8 * k], group))]
             lo[more] = self._search(word, suffixes, 8 * k, lo[more], hi[more], self.low[more, k], False)
             hi[more] = self._search(word, suffixes, 8 * k, lo[more], hi[more], self.high[more, k], True)
         count = np.maximum(hi - lo, 0)
         piece = np.repeat(np.arange(len(count)), count)
         at = suffixes[np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-        key = at * 512 + self.sizes[piece]
-        order = np.argsort(key)
-        return key[order], piece[order]
+        packed = np.sort(((at * 512 + self.sizes[piece]) << 20) | piece)
+        return packed >> 20, packed & ((1 << 20) - 1)
 
     @staticmethod
     def _search(word, suffixes, offset, lo, hi, target, right: bool) -> np.ndarray:
