@@ -10,6 +10,8 @@ from chainloom.llm.chat import digests, formatted
 from chainloom.llm.decontaminate import contamination
 from chainloom.llm.exactdedup import exact_groups
 from chainloom.llm.languages import languages
+from chainloom.llm.licences import licences
+from chainloom.llm.pieces import encoded
 from chainloom.llm.simhash import near_groups
 from chainloom.llm.substrings import kept_words
 from chainloom.llm.tokencount import token_counts
@@ -46,6 +48,12 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return digests(formatted(rows.unionByName(trap)))
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return encoded(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
 
@@ -54,6 +62,10 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"))
 
 
+def op9_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences(table(spark, folder, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,8 +78,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_decontamination": op7_decontamination,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_licence_scan": op9_licence_scan,
     "op10_token_counts": op10_token_counts,
 }
 
