@@ -1,8 +1,71 @@
-"""Placeholder until the stages exist."""
+"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, decontamination, encoding.
 
-STAGES = []
+Each stage is a function of (spark, docs, sf_dir) that works on all rows its
+predecessor kept; its result is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainloom.llm.decontaminate import decontaminated
+from chainloom.llm.exactdedup import exact_dedup
+from chainloom.llm.languages import UND, fit, predicted
+from chainloom.llm.pieces import encoded
+from chainloom.llm.simhash import near_dedup
+from chainloom.session import written
+
+#: Least mean probability of a language that keeps a document: less is no text of one language that was learned.
+CONFIDENT = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter and one language of at least CONFIDENT; lang becomes what was predicted."""
+    out = predicted(docs, fit(docs)).where((F.col("__lang") != UND) & (F.col("__score") >= CONFIDENT))
+    return out.select(*(F.col("__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id."""
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a group of near copies the one with the smallest doc_id."""
+    return near_dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of ten words of any benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The kept documents as pieces."""
+    import public_tokenizers
+
+    return encoded(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("decontamination", decontamination),
+    ("encoding", encoding),
+]
+
+#: Language ID, SimHash and the encoding have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"pipeline-{name}")
+    return docs
