@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.llm.samples import thinned
 from chainloom.llm.text import pieces, raw
 
 #: Units of each direction; bytes of a segment that are labelled; of its margins.
@@ -22,8 +23,8 @@ UNITS, SEGMENT, MARGIN = 12, 240, 8
 #: Labelled rows that training takes at most, characters of a passage of them, and steps.
 SAMPLE, PASSAGE, STEPS = 3000, 400, 260
 UND = "und"
-#: The symbol of a place outside the text.
-PAD = 256
+#: The symbol of a place outside the text, which leaves the state as it is: its update gate stays shut.
+PAD, SHUT = 256, -30
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -36,6 +37,8 @@ class Direction:
     def __init__(self, rng, units: int):
         scale = 1 / np.sqrt(units)
         self.x = (rng.normal(size=(PAD + 1, 3 * units)) * 0.3).astype(np.float32)
+        self.x[PAD] = 0
+        self.x[PAD, :units] = SHUT
         self.gates = (rng.normal(size=(units, 2 * units)) * scale).astype(np.float32)
         self.state = (rng.normal(size=(units, units)) * scale).astype(np.float32)
 
@@ -86,6 +89,7 @@ class Direction:
         at = np.flatnonzero(np.diff(flat[order], prepend=-1))
         grad = np.zeros_like(self.x)
         grad[flat[order][at]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], at)
+        grad[PAD] = 0
         return [grad, dgates, dstate]
 
 
@@ -183,7 +187,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE, folds: int = 3, fold: int = 1, id
     A passage is PASSAGE characters at a place that a hash of the row chooses.
     """
     text, h = F.col(text_col), F.xxhash64(F.col(id_col), F.length(F.col(text_col)))
-    rows = docs.where(text.isNotNull() & F.col(lang_col).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(id_col), folds, fold))
+    rows = thinned(docs, F.col(id_col), sample, docs.count()).where(text.isNotNull() & F.col(lang_col).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(id_col), folds, fold))
     start = F.pmod(h, F.greatest(F.lit(1), F.length(text) - PASSAGE)).cast("int") + 1
     rows = rows.select(h.alias("h"), F.substr(text, start, F.lit(PASSAGE)).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "t", "l").limit(sample).collect()
     return trained([r.t.encode() for r in rows], [r.l for r in rows], steps=steps)
