@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.llm.samples import thinned
 from chainloom.llm.text import ALNUM, U, Words, mixed, pieces, spans
 
 #: Hash buckets, lengths in bytes of word beginnings that are features, labelled rows that training takes of each label.
@@ -122,6 +123,7 @@ def _fitted(doc, f, y, w, bias, l1: float, strength: float) -> tuple[np.ndarray,
     pairs = int(pair.max(initial=0)) + 1
     v, vb, t = w, bias, 1.0
     rate = 4.0 / (1 + np.sqrt(np.bincount(doc, minlength=n).max()))
+    rate /= 1 + 16 * strength * rate
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, weights=v[f], minlength=n) + vb, -30, 30)))
         error = (p - y) / n
@@ -152,9 +154,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     """
     own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("y")).where("__id is not null and y is not null")
     own = own.where(~held_out(F.col("__id"), folds, fold)).groupBy("__id").agg(F.max("y").alias("y"))
-    n, ones = own.agg(F.count("*"), F.sum("y")).first()
+    n, ones = own.agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first()
     h = F.xxhash64("__id")
-    chosen = own.where("y > 0").orderBy(h, "__id").limit(sample).unionByName(own.where("y = 0").orderBy(h, "__id").limit(sample))
+    sides = [thinned(own.where(side), F.col("__id"), sample, count).orderBy(h, "__id").limit(sample) for side, count in (("y > 0", ones or 0), ("y <= 0", n - (ones or 0)))]
+    chosen = sides[0].unionByName(sides[1])
     # 2 * sample rows at most
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
 
