@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainloom.functions.chain import header_fields
 from chainloom.functions.hashing import sha256d_of
@@ -48,16 +50,16 @@ def merkle_root(txids: list[bytes]) -> bytes:
     return level[0]
 
 
-def merkle_mismatches(txs: DataFrame, headers: DataFrame) -> DataFrame:
-    """(height) where the txids, in order of position, don't hash to the header's root; a block's txids fit in memory."""
-    import pandas as pd
+@F.pandas_udf(T.BinaryType())
+def root_of(txids: pd.Series) -> pd.Series:
+    """Root of each list of txids."""
+    return txids.map(lambda x: merkle_root([bytes(t) for t in x]) if len(x) else None)
 
-    @F.pandas_udf("binary")
-    def root(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: merkle_root([bytes(t) for t in x]) if len(x) else None)
 
+def merkle_mismatches(txs: DataFrame, headers: DataFrame) -> DataFrame:
+    """(height) where the txids, in order of position, don't hash to the header's root; a block's txids fit in memory."""
     own = txs.groupBy("height").agg(F.array_sort(F.collect_list(F.struct("pos", "txid"))).alias("t"))
-    own = own.select("height", root(F.transform("t", lambda x: x["txid"])).alias("root"))
+    own = own.select("height", root_of(F.transform("t", lambda x: x["txid"])).alias("root"))
     return headers.join(own, "height", "left").where(~F.col("root").eqNullSafe(F.col("merkle_root"))).select("height")
 
 
