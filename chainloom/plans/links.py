@@ -29,12 +29,15 @@ def capped_spenders(history: DataFrame, cap: int, late: bool = False) -> DataFra
     """
     spent = history.where("spender_tx is not null")
     first = spent.groupBy("lock", "spender_tx").agg(F.min("out_ord").alias("first_out"), F.max("out_ord").alias("last_out"))
-    own = Window.partitionBy("lock")
-    ordered = own.orderBy("first_out")
-    rows = first.withColumns({"k": F.row_number().over(ordered), "n": F.count("*").over(own), "end": F.max("last_out").over(own)})
-    full = F.max(F.when(F.col("k") == cap, F.col("first_out"))).over(own)
-    more = (F.col("n") > cap) | ((F.col("n") >= cap) & (F.col("end") > full)) if late else F.col("n") > cap
-    return rows.withColumn("truncated", F.coalesce(more, F.lit(False))).where(F.col("k") <= cap).select("lock", "spender_tx", "truncated")
+    # the rank alone is filtered, so each task drops what is beyond the cap before the shuffle
+    k = F.row_number().over(Window.partitionBy("lock").orderBy("first_out"))
+    kept = first.withColumn("k", k).where(F.col("k") <= cap)
+    sizes = first.groupBy("lock").agg(F.count("*").alias("n"), F.max("last_out").alias("end"))
+    if not late:
+        return kept.join(sizes, "lock").select("lock", "spender_tx", (F.col("n") > cap).alias("truncated"))
+    full = kept.where(F.col("k") == cap).select("lock", F.col("first_out").alias("full"))
+    more = (F.col("n") > cap) | F.coalesce(F.col("end") > F.col("full"), F.lit(False))
+    return kept.join(sizes.join(full, "lock", "left").select("lock", more.alias("truncated")), "lock").select("lock", "spender_tx", "truncated")
 
 
 def co_inputs(history: DataFrame, locks: DataFrame, cap: int = CAP) -> DataFrame:
