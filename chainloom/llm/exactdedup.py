@@ -111,8 +111,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows are told apart by doc_id and normalised text; of rows that repeat
     both, one stays.
     """
-    keys = ["__id", "__sha"]
-    held = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    own = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": F.sha2(normalised(F.col(text_col)), 256)})
-    same = own["__id"].eqNullSafe(held["__id"]) & (own["__sha"] == held["__sha"])
-    return own.join(held, same, "left_semi").dropDuplicates(keys).drop(*keys)
+    # one column, so that the join and the choice of one row share a partitioning
+    name = lambda id_, sha: F.concat_ws(":", sha, F.coalesce(id_.cast("string"), F.lit("-")))
+    held = exact_groups(docs, id_col, text_col).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
+    own = docs.withColumn("__key", name(F.col(id_col).cast("long"), F.sha2(normalised(F.col(text_col)), 256)))
+    return own.join(held, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
