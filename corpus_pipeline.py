@@ -17,12 +17,13 @@ from chainloom.llm.pieces import encoded
 from chainloom.llm.simhash import near_dedup
 from chainloom.session import written
 
-#: Least mean probability of a language that keeps a document: less is no text of one language that was learned.
-CONFIDENT = 0.5
+#: Least mean probability of a language that keeps a document. A text of two or three languages has more and stays;
+#: less is close to even odds over what was learned: no text of any of them.
+CONFIDENT = 0.35
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter and one language of at least CONFIDENT; lang becomes what was predicted."""
+    """Documents with a letter and a language of at least CONFIDENT; lang becomes what was predicted."""
     out = predicted(docs, fit(docs)).where((F.col("__lang") != UND) & (F.col("__score") >= CONFIDENT))
     return out.select(*(F.col("__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
 
