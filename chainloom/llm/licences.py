@@ -7,8 +7,7 @@ corpus's own paragraphs as the class of unknown ones, gives each family a
 score; a temperature set on variations kept apart makes them probabilities.
 A family is confirmed if one of its template sentences has at least CONTAINED
 of its shingles of five words in the paragraph. So a paragraph without any of
-a few words, one of which is in every shingle of every template sentence, has no
-finding; the others are scored within their row, without a shuffle.
+a few words, at least one of which every confirmation takes, has no finding; the others are scored within their row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -172,16 +171,23 @@ def contained(own: list[str], sentence: str) -> bool:
 
 
 def telling() -> list[str]:
-    """Words of which each shingle of each template sentence has at least one, long ones first."""
-    left, out = [set(x.split(" ")) for own in TEMPLATES.values() for s in own for x in shingles(words_of(s))], []
-    while left:
-        count: dict[str, int] = {}
-        for x in left:
-            for w in x:
-                count[w] = count.get(w, 0) + (len(w) > 4)
-        best = max(sorted(count), key=lambda w: (count[w] * len(w), len(w)))
-        out.append(best)
-        left = [x for x in left if best not in x]
+    """Words without any of which no template sentence can be confirmed.
+
+    Of each sentence they are in so many shingles that those left are fewer than
+    the share that a confirmation takes.
+    """
+    sentences = [[set(x.split(" ")) for x in shingles(words_of(s))] for own in TEMPLATES.values() for s in own]
+    out: list[str] = []
+
+    def missing(shingles_: list[set[str]], chosen: list[str]) -> float:
+        """Shingles that still have to be covered."""
+        left = sum(not x.intersection(chosen) for x in shingles_)
+        return max(0.0, left - CONTAINED * len(shingles_) + 1e-9)
+
+    vocabulary = sorted({w for x in sentences for own in x for w in own})
+    while any(missing(x, out) for x in sentences):
+        gain = {w: sum(missing(x, out) - missing(x, [*out, w]) for x in sentences) for w in vocabulary}
+        out.append(max(vocabulary, key=lambda w: (gain[w] > 0, len(w) > 4, round(gain[w], 6), len(w))))
     return out
 
 

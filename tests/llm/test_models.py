@@ -121,4 +121,7 @@ def test_licences_against_a_scan_in_python(spark):
             p = model.probabilities(C.features_of(C.words_of("this is " + s)))
             assert model.classes[int(np.argmax(p))] == name
     telling = set(C.telling())
-    assert all(telling & set(x.split(" ")) for own in C.TEMPLATES.values() for s in own for x in C.shingles(C.words_of(s)))
+    for own in C.TEMPLATES.values():
+        for s in own:
+            wanted = C.shingles(C.words_of(s))
+            assert sum(not telling & set(x.split(" ")) for x in wanted) < C.CONTAINED * len(wanted)
