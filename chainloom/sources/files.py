@@ -86,7 +86,7 @@ def write_json(path: str, value, private: bool = False) -> None:
 
 
 def write_csv(df: DataFrame, path: str, order: list[str], comments: Iterable[str] = ()) -> None:
-    """A report as one CSV file in a stated order; null is empty. For results of a bounded size: rows pass the driver one by one."""
+    """A report as one CSV file in a stated order, or the table's own; null is empty. For results of a bounded size: rows pass the driver one by one."""
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     temporary = f"{path}.part"
@@ -94,6 +94,6 @@ def write_csv(df: DataFrame, path: str, order: list[str], comments: Iterable[str
         f.writelines(f"# {c}\n" for c in comments)
         out = csv.writer(f, lineterminator="\n")
         out.writerow(df.columns)
-        for row in df.orderBy(*order).toLocalIterator():
+        for row in (df.orderBy(*order) if order else df).toLocalIterator():
             out.writerow(["" if v is None else v.hex() if isinstance(v, (bytes, bytearray)) else v for v in row])
     os.replace(temporary, path)
