@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from chainloom.llm.text import SPACES, U, Words, mixed, pieces, spans
 
 WINDOW, MINIMISER = 35, 4
-#: Windows of a packed string at most; bytes of text that a task packs at once; packed bytes that a bucket is meant to hold.
-RUN, FLUSH, BUCKET = 255, 10 << 20, 2 << 20
+#: Windows of a packed string at most; bytes of text that a task packs at once; packed bytes that a bucket is
+#: meant to hold at most, and the buckets that even out the tasks of smaller inputs.
+RUN, FLUSH, BUCKET, EVEN = 255, 24 << 20, 8 << 20, 4096
 #: Documents in the sample that finds frequent minimisers, and the share of them from which one is frequent.
 SAMPLE, SHARE = 4000, 0.004
 NONE = np.iinfo(np.int64).min
@@ -216,7 +217,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER) -> DataFr
     """
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = max(8, total * 3 // BUCKET)
+    buckets = max(8, total * 3 // BUCKET, min(EVEN, total * 3 // (BUCKET // 4)))
     hot = frequent(docs, window, m)
 
     def pack(batches):
