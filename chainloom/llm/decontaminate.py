@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.text import ALNUM, U, Words, pieces
+from chainloom.llm.text import ALNUM, U, Words, bounded, pieces
 from chainloom.session import written
 
 #: Bytes of item texts in a block.
@@ -116,8 +116,8 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc
 
     def meet(windows: Windows):
         def run(batches):
-            for batch in pieces(batches, "__text", 4 << 20):
-                w = Words(batch.column("__text"), ALNUM, lower=True)
+            for batch in pieces(batches, text_col, 2 << 20):
+                w = Words(batch.column(text_col), ALNUM, lower=True)
                 which, start = windows.occurrences(w)
                 cover = np.zeros(w.count + 1, np.int64)
                 np.add.at(cover, start, 1)
@@ -149,18 +149,18 @@ def hits(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc
 
         return run
 
-    out = docs.withColumns({"__text": F.col(text_col), "__n_words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
+    out = bounded(docs).withColumns({"__n_words": F.lit(0).cast("long"), "__spans": F.lit(b""), "__items": F.array().cast("array<string>")})
     for k, (ids, texts) in enumerate(_blocks(items, item_col, item_text_col, block)):
         if k:  # one block at a time holds the driver's memory
             out = written(out, "decontaminate")
         out = out.mapInArrow(meet(Windows(ids, texts, window)), out.schema)
-    return out.drop("__text")
+    return out
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", **names) -> DataFrame:
     """(doc_id, n_words, n_hit, items, contaminated), one row per row of docs; see hits for the cases."""
     out = hits(docs.select(F.col(id_col).alias("doc_id"), F.col(names.get("text_col", "text")).alias("text")), items, window, **{k: v for k, v in names.items() if k != "text_col"})
-    return out.mapInArrow(_counted, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")
+    return out.drop("text").mapInArrow(_counted, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")
 
 
 def _counted(batches):

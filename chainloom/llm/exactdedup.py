@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.text import pieces, raw
+from chainloom.llm.text import bounded, pieces, raw
 from chainloom.session import written
 
 #: Characters of a text in the key of the range partition.
@@ -85,7 +85,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     repeat the smallest doc_id exactly one stays. An empty table gives an empty
     table; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
     rows = rows.select(F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"), "text", "doc_id")
     last = F.col("doc_id").asc_nulls_last()
     dealt = rows.repartitionByRange(F.col("head"), F.col("hash"), last).sortWithinPartitions("head", "hash", "text", last)

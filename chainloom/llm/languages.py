@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.samples import thinned
-from chainloom.llm.text import pieces, raw
+from chainloom.llm.text import bounded, pieces, raw
 
 #: Units of each direction; bytes of a segment that are labelled; of its margins.
 UNITS, SEGMENT, MARGIN = 12, 240, 8
@@ -201,8 +201,8 @@ def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
     """
 
     def label(batches):
-        for batch in pieces(batches, "__text", 512 << 10):
-            data, offsets = raw(batch.column("__text"))
+        for batch in pieces(batches, text_col, 512 << 10):
+            data, offsets = raw(batch.column(text_col))
             letter = np.concatenate([[0], np.cumsum(((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A))])[offsets]
             some = np.diff(letter) > 0
             for i in np.flatnonzero(~some & (np.diff(offsets) > 0)):
@@ -217,8 +217,8 @@ def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
             columns = {name: batch.column(name) for name in batch.schema.names} | {"__lang": pa.array(lang), "__score": pa.array(score)}
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    own = docs.withColumns({"__text": F.col(text_col), "__lang": F.lit(""), "__score": F.lit(0.0)})
-    return own.mapInArrow(label, own.schema).drop("__text")
+    own = bounded(docs).withColumns({"__lang": F.lit(""), "__score": F.lit(0.0)})
+    return own.mapInArrow(label, own.schema)
 
 
 def languages(docs: DataFrame, net: Network | None = None, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

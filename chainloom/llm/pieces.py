@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.text import mixed, pieces, raw, spans
+from chainloom.llm.text import bounded, mixed, pieces, raw, spans
 
 SPACE = "▁"
 #: Bytes of text that are encoded at once, and symbols of a stretch from which it is relaxed alone.
@@ -371,7 +371,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(at)), lists, pa.array(shas), pa.array([a == b for a, b in zip(back, texts, strict=True)])], names=["doc_id", "n_pieces", "ids", "ids_sha256", "round_trip"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean")
 
 

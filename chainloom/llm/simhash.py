@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.components import components
-from chainloom.llm.text import SPACES, Words, pieces
+from chainloom.llm.text import SPACES, Words, bounded, pieces
 from chainloom.session import written
 
 TAU = 3
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_co
                 fp[some] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(prints, "doc_id long, fp long")
 
 

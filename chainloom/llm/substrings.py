@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.text import SPACES, U, Words, mixed, pieces, spans
+from chainloom.llm.text import SPACES, U, Words, bounded, mixed, pieces, spans
 
 WINDOW, MINIMISER = 35, 4
 #: Windows of a packed string at most; bytes of text that a task packs at once; packed bytes that a bucket is
@@ -270,7 +270,7 @@ def kept_words(docs: DataFrame, window: int = WINDOW, m: int = MINIMISER, id_col
     Rows that repeat doc_id and text are two places, so their windows repeat.
     An empty table gives an empty table; other columns are not looked at.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = repeats(rows, window, m).groupBy("doc_id", "key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
     found = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "runs")
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U = np.uint64
 #: Odd multiplier of the polynomial hashes, modulo 2**64, and its inverse.
@@ -22,6 +23,18 @@ ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
 
+#: Bytes of a record batch that Spark hands over, if the session has Spark's own default.
+HANDED, DEFAULT = "8m", "67108864b"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose record batches are small enough for long texts; a setting of the user's own stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, DEFAULT) == DEFAULT:
+        conf.set(key, HANDED)
+    return df
+
+
 def pieces(batches, column: str, limit: int):
     """Slices of the record batches with at most limit bytes of text each, one row at least."""
     for batch in batches:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.text import pieces, raw
+from chainloom.llm.text import bounded, pieces, raw
 
 #: Characters of a part of a long text, and of a batch that is encoded at once.
 PART, BATCH = 1 << 16, 1 << 19
@@ -85,5 +85,5 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
             size = np.diff(raw(batch.column("text"))[1])
             yield pa.record_batch([batch.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

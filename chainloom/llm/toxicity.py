@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.samples import thinned
-from chainloom.llm.text import ALNUM, U, Words, mixed, pieces, spans
+from chainloom.llm.text import ALNUM, U, Words, bounded, mixed, pieces, spans
 
 #: Hash buckets, lengths in bytes of word beginnings that are features, labelled rows that training takes of each label.
 SIZE, HEADS, SAMPLE = 1 << 18, (4, 5, 6), 3000
@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5
     sides = [thinned(own.where(side), F.col("__id"), sample, count).orderBy(h, "__id").limit(sample) for side, count in (("y > 0", ones or 0), ("y <= 0", n - (ones or 0)))]
     chosen = sides[0].unionByName(sides[1])
     # 2 * sample rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
 
     def encode(batches):
         for batch in pieces(batches, "text", 1 << 20):
@@ -189,6 +189,6 @@ def toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | No
             s = model.scores(batch.column("text"))
             yield pa.record_batch([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(score, "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "score", "predicted")
