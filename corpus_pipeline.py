@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, decontamination, encoding.
+"""The corpus pipeline: language ID, exact dedup, near-dedup, decontamination, encoding.
 
 Each stage is a function of (spark, docs, sf_dir) that works on all rows its
 predecessor kept; its result is written as Parquet and read again as the next
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from chainloom.llm.decontaminate import decontaminated
 from chainloom.llm.exactdedup import exact_dedup
 from chainloom.llm.languages import UND, fit, predicted
+from chainloom.llm.nearcopies import near_copies
 from chainloom.llm.pieces import encoded
-from chainloom.llm.simhash import near_dedup
 from chainloom.session import written
 
 #: Least mean probability of a language that keeps a document. A text of two or three languages has more and stays;
@@ -34,8 +34,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies the one with the smallest doc_id."""
-    return near_dedup(docs)
+    """Of a group of near copies the one with the smallest doc_id: 5-word shingles, Jaccard 0.8 or more."""
+    return near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Language ID, SimHash and the encoding have no SQL.
+#: Language ID, near-dedup and the encoding have no SQL.
 ORACLE_SQL = None
 
 
