@@ -466,13 +466,13 @@ def revelation_reduce(l: Ledger) -> DataFrame:
 
 @query
 def perimeter_filter(l: Ledger) -> DataFrame:
-    rows = reveal.reduced(flags(l).where("height % 50 = 0"))
+    rows = reveal.reduced(flags(l))
     return reveal.within(rows, cosigners=False)
 
 
 @query
 def exposure_status(l: Ledger) -> DataFrame:
-    rows = reveal.reduced(flags(l).where("height % 70 = 0"))
+    rows = reveal.reduced(flags(l))
     asked = l.spark.range(0, 160).select(F.when(F.col("id") % 3 == 0, "keys").otherwise("scripts20").alias("category"), F.col("id").alias("digest"), F.when(F.col("id") % 11 == 0, "p2tr").otherwise("p2pkh").alias("kind"))
     return reveal.exposure(asked, rows).select("category", "digest", "kind", "status", F.col("first_height"))
 
@@ -511,13 +511,13 @@ def witness_rows(l: Ledger) -> DataFrame:
 
 @query
 def resolution_cases(l: Ledger) -> DataFrame:
-    out = nonces.resolutions(witness_rows(l).where("height % 13 = 0"))
+    out = nonces.resolutions(witness_rows(l))
     return out.select(F.lower(F.hex("point")).alias("point"), "resolution", F.size("exposed_keys").cast("long").alias("exposed"), "rows")
 
 
 @query
 def witness_reduce(l: Ledger) -> DataFrame:
-    out = nonces.witness_rows(witness_rows(l).where("height % 13 = 0"))
+    out = nonces.witness_rows(witness_rows(l))
     return out.select(*(F.lower(F.hex(c)).alias(c) for c in ("r", "key", "s")), "count", "height", "flags")
 
 
@@ -634,7 +634,7 @@ def sighash_codes(l: Ledger) -> DataFrame:
 
 @query
 def flag_stories(l: Ledger) -> DataFrame:
-    rows = reveal.reduced(flags(l).where("height % 50 = 0"))
+    rows = reveal.reduced(flags(l))
     return rows.select("category", "digest", C.flag_words(F.col("byte"), C.KEY_FLAGS).alias("story"))
 
 
