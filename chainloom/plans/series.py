@@ -128,12 +128,24 @@ def rewritten(old: DataFrame, new: DataFrame, columns: list[str], height: str =
     return a.join(b, height).agg(F.count(F.when(~F.col("a").eqNullSafe(F.col("b")), 1)).alias("changed_heights"))
 
 
-def in_order(df: DataFrame, columns: list[str], strict: bool, within: list[str] = ()) -> DataFrame:
-    """(violations): rows that don't follow the row before in the order of the table's column line."""
-    ordered = Window.partitionBy(*within).orderBy("line")
-    now, before = F.struct(*columns), F.lag(F.struct(*columns)).over(ordered)
-    bad = before.isNotNull() & ((now <= before) if strict else (now < before))
-    return df.select(bad.alias("bad")).agg(F.count(F.when(F.col("bad"), 1)).alias("violations"))
+def in_order(df: DataFrame, columns: list[str], strict: bool, block: str | None = None) -> DataFrame:
+    """(violations): rows that don't follow the row before in the order of the table's column line.
+
+    block, a column that grows with line, makes it two levels: rows within a
+    block, and the first row of each block after the last of the block before.
+    """
+    values = F.struct(*columns)
+
+    def count(rows: DataFrame, now: Column, before: Column) -> DataFrame:
+        bad = before.isNotNull() & ((now <= before) if strict else (now < before))
+        return rows.select(bad.alias("bad")).agg(F.count(F.when(F.col("bad"), 1)).alias("violations"))
+
+    if block is None:
+        return count(df, values, F.lag(values).over(Window.partitionBy().orderBy("line")))
+    inside = count(df, values, F.lag(values).over(Window.partitionBy(block).orderBy("line")))
+    ends = df.groupBy(block).agg(F.min_by(values, "line").alias("first"), F.max_by(values, "line").alias("last"))
+    across = count(ends, F.col("first"), F.lag("last").over(Window.orderBy(block)))
+    return inside.unionByName(across).agg(F.sum("violations").alias("violations"))
 
 
 def lengths(offsets: DataFrame, order: str, offset: str, end: Column) -> DataFrame:

@@ -163,7 +163,7 @@ def offsets_to_lengths(l: Ledger) -> DataFrame:
 @query
 def order_violations(l: Ledger) -> DataFrame:
     rows = l.lines.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), "l_partkey", "l_suppkey").groupBy("line").agg(F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"))
-    return series.in_order(rows.withColumn("part", F.expr("line div 4096")), ["p", "s"], True, ["part"])
+    return series.in_order(rows.withColumn("part", F.expr("line div 4096")), ["p", "s"], True, "part")
 
 
 # -- ordinals and positions (D) --------------------------------------------
