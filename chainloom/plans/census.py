@@ -20,9 +20,11 @@ def by_band(coins: DataFrame, width: int = 50_000) -> DataFrame:
     return coins.groupBy("type", height_band(F.col("height"), width).alias("height_from")).agg(F.count("*").alias("entries"), F.sum("sats").alias("satoshis"))
 
 
-def by_epoch(coins: DataFrame, types: list[str] = EXPOSED, epoch=epoch_index, epochs: int = 5) -> DataFrame:
-    """(type, e1 ... e5, total): satoshis of the types that show their keys, by era."""
-    rows = coins.where(F.col("type").isin(types)).groupBy("type").pivot("epoch", list(range(epochs))) if "epoch" in coins.columns else coins.where(F.col("type").isin(types)).withColumn("epoch", epoch(F.col("height"))).groupBy("type").pivot("epoch", list(range(epochs)))
+def by_epoch(coins: DataFrame, types: list[str] | None = EXPOSED, epoch=epoch_index, epochs: int = 5) -> DataFrame:
+    """(type, e1 ... e5, total): satoshis of the types that show their keys, or of all if types is None, by era."""
+    own = coins if types is None else coins.where(F.col("type").isin(types))
+    own = own if "epoch" in coins.columns else own.withColumn("epoch", epoch(F.col("height")))
+    rows = own.groupBy("type").pivot("epoch", list(range(epochs)))
     out = rows.agg(F.sum("sats"))
     names = [F.coalesce(F.col(f"`{i}`"), F.lit(0)).cast("long") for i in range(epochs)]
     return out.select("type", *(c.alias(f"e{i + 1}") for i, c in enumerate(names)), sum(names[1:], names[0]).alias("total"))

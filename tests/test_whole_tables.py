@@ -35,3 +35,18 @@ def test_order_is_checked_across_blocks(spark):
     rows = spark.createDataFrame([(i, v, i // 3) for i, v in enumerate([1, 2, 3, 3, 4, 5, 4, 5, 6])], "line long, v long, part long")
     assert [series.in_order(rows, ["v"], strict, "part").first()[0] for strict in (True, False)] == [2, 1]
     assert series.in_order(rows.limit(0), ["v"], True, "part").first()[0] == 0
+
+
+@pytest.mark.parametrize(
+    "name, cuts",
+    [("address_codec", ["p_partkey <= 5"]), ("utxo_census_pivot", ["p_type IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 4)"]), ("daily_carry_forward", ["user_id % 9 = 0"])],
+)
+def test_all_parts_types_and_users_are_read(spark, name, cuts):
+    same(spark, name, cuts)
+
+
+def test_same_key_pairs_parts_of_any_number(spark, tmp_path):
+    rows = [(1, 7), (150, 7), (201, 7), (900, 7), (1001, 8)]
+    spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {tuple(r) for r in QUERIES["same_key"](spark, str(tmp_path)).select("pos_a", "pos_b").collect()}
+    assert got == {(1, 150), (1, 900), (150, 201), (201, 900)}
