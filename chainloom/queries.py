@@ -68,9 +68,14 @@ def tail_share(l: Ledger) -> DataFrame:
 # -- series (H, E9, E10, F18, F19) -----------------------------------------
 
 
+def up_to(events: DataFrame, least: int) -> int:
+    """Where a grid ends: at least, or at the last height of events if that is beyond it."""
+    return max(least, events.agg(F.max("height")).first()[0] or least)
+
+
 def monthly(l: Ledger) -> DataFrame:
     """(height, n_tx, cents): running totals at the ends of windows of 30 days."""
-    return series.cumulative(l.orders.select("height", F.lit("all").alias("kind"), cents("o_totalprice").alias("v")), ["all"], "v", 30, 2430)
+    return series.cumulative(l.orders.select("height", F.lit("all").alias("kind"), cents("o_totalprice").alias("v")), ["all"], "v", 30, up_to(l.orders, 2430))
 
 
 @query
@@ -89,13 +94,13 @@ STATUSES = ["F", "O", "P"]
 @query
 def reuse_curve_grid(l: Ledger) -> DataFrame:
     rows = l.orders.select("height", F.col("o_orderstatus").alias("kind"), cents("o_totalprice").alias("v"))
-    return series.cumulative(rows, STATUSES, "v", 100, 2450)
+    return series.cumulative(rows, STATUSES, "v", 100, up_to(rows, 2450))
 
 
 @query
 def revelation_windows(l: Ledger) -> DataFrame:
     first = l.lot.groupBy("lock").agg(F.min("height").alias("height")).join(l.table("part").select("p_partkey", (F.col("p_size") % 3).alias("k")), F.col("lock") == F.col("p_partkey"))
-    return series.window_counts(first.withColumn("kind", F.element_at(F.array(*map(F.lit, ["keys", "scripts20", "scripts32"])), F.col("k") + 1)), ["keys", "scripts20", "scripts32"], 50, 2430)
+    return series.window_counts(first.withColumn("kind", F.element_at(F.array(*map(F.lit, ["keys", "scripts20", "scripts32"])), F.col("k") + 1)), ["keys", "scripts20", "scripts32"], 50, up_to(first, 2430))
 
 
 @query

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from chainloom.oracle import ORACLE
 from chainloom.plans import series
@@ -50,3 +51,21 @@ def test_same_key_pairs_parts_of_any_number(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = {tuple(r) for r in QUERIES["same_key"](spark, str(tmp_path)).select("pos_a", "pos_b").collect()}
     assert got == {(1, 150), (1, 900), (150, 201), (201, 900)}
+
+
+def test_grids_reach_the_last_height(spark, tmp_path):
+    for t in ("lineitem", "part", "customer", "events"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    later = F.expr("o_orderdate + interval 400 days").cast(orders.schema["o_orderdate"].dataType)
+    orders.withColumn("o_orderdate", later).write.parquet(str(tmp_path / "orders.parquet"))
+    n = orders.count()
+    curve = QUERIES["reuse_curve_grid"](spark, str(tmp_path)).collect()
+    assert sum(max(r[f"{k}_hits"] for r in curve) for k in "FOP") == n
+    assert sum(r.all_hits for r in QUERIES["curve_deltas"](spark, str(tmp_path)).collect()) == n
+    assert sum(r.total for r in QUERIES["revelation_windows"](spark, str(tmp_path)).collect()) == spark.read.parquet(f"{SF}/lineitem.parquet").select("l_partkey").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["curve_deltas", "reuse_curve_grid", "revelation_windows"])
+def test_grids_of_the_given_tables_stay(spark, name):
+    same(spark, name, [])
