@@ -33,7 +33,7 @@ def shingled(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
     short = np.minimum(w.n, size)
     last = np.arange(w.count) + np.repeat(np.maximum(short - 1, 0), w.n)
     starts = np.flatnonzero(last < np.repeat(w.first[1:], w.n))
-    h = mixed(spans(w.text.astype(U) + U(1), w.start[starts], w.end[last[starts]]))
+    h = mixed(spans(w.text, w.start[starts], w.end[last[starts]]))
     none = np.flatnonzero(w.n == 0)
     of, h = np.concatenate([np.repeat(np.arange(len(w.n)), w.n)[starts], none]), np.concatenate([h, np.zeros(len(none), U)])
     order = np.lexsort((h, of))

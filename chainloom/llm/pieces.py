@@ -328,7 +328,7 @@ class Model:
     @staticmethod
     def _distinct(data, start, end) -> tuple[np.ndarray, np.ndarray]:
         """Of each stretch the number of its text, and the first stretch of each number; told apart byte by byte."""
-        h = mixed(spans(data.astype(np.uint64) + np.uint64(1), start, end))
+        h = mixed(spans(data, start, end))
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         size = end - start
         like = first[inverse]

@@ -1,7 +1,7 @@
 """Words of whole texts, found in a batch of documents at once with numpy.
 
-A batch is handled in pieces of a bounded number of bytes; only a single text
-that is longer than the bound makes a larger piece.
+A batch is handled in pieces of a bounded number of bytes; a single text that
+is longer makes a piece of its own, which is read in sections.
 """
 
 from __future__ import annotations
@@ -71,11 +71,13 @@ class Words:
     """The words of a piece.
 
     text: their bytes, each word followed by one space; start and end: where
-    word i lies in it; first: of document d, words first[d] to first[d + 1].
+    word i lies in it; first: of document d, words first[d] to first[d + 1];
+    begin: where word i began in the piece.
     """
 
-    def __init__(self, array: pa.Array, table: np.ndarray, lower: bool = False):
-        data, offsets = raw(array)
+    def __init__(self, array: pa.Array | None, table: np.ndarray, lower: bool = False, data: np.ndarray | None = None):
+        """Of an array of texts, or of the bytes of one text."""
+        data, offsets = raw(array) if data is None else (data, np.array([0, len(data)]))
         if lower:
             data = lowered(data)
         n = len(data)
@@ -89,6 +91,7 @@ class Words:
         after[:-1] = word
         ends = np.flatnonzero(word & (~after[1:] | breaks[1:])) + 1
         sizes = ends - starts
+        self.begin = starts
         self.count = len(starts)
         self.end = np.cumsum(sizes + 1) - 1
         self.start = self.end - sizes
@@ -101,33 +104,87 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64 bits of each word."""
-        return mixed(spans(self.text.astype(U) + U(1), self.start, self.end))
+        return mixed(spans(self.text, self.start, self.end))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n, modulo 2**64."""
-    out = []
-    for b in (BASE, INVERSE):
-        p = np.full(n, b, U)
-        if n:
-            p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+#: Bytes of a text from which it is read in sections, and of a section.
+LONG, SECTION = 8 << 20, 4 << 20
 
 
-_POWERS: list[np.ndarray] = []
+def is_long(batch: pa.RecordBatch, column: str = "text") -> bool:
+    """Whether a piece is one text that has to be read in sections."""
+    return batch.num_rows == 1 and (pc.binary_length(batch.column(column))[0].as_py() or 0) > LONG
+
+
+def sections(array: pa.Array, table: np.ndarray, lower: bool = False, overlap: int = 0, size: int = SECTION):
+    """The words of an array of one text in sections: (number of the first word, words that the section before held too, Words).
+
+    A section starts overlap words before the end of the one before, so every
+    run of overlap + 1 words lies in one of them; each but the last has more
+    words than overlap. No word is cut.
+    """
+    data, _ = raw(array)
+    begin = end = base = held = 0
+    while True:
+        while True:
+            end = min(end + size, len(data))
+            while end < len(data):  # on to the end of the word
+                gap = np.flatnonzero(~table[data[end : end + 4096]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(end + 4096, len(data))
+            w = Words(None, table, lower, data[begin:end])
+            if w.count > overlap or end == len(data):
+                break
+        yield base, held, w
+        if end == len(data):
+            return
+        held = overlap
+        base += w.count - held
+        begin = begin + int(w.begin[w.count - held]) if held else end
+
+
+#: Values whose sums are taken at once.
+RUN = 1 << 16
+
+
+def _powers(base: int) -> np.ndarray:
+    p = np.full(RUN, base, U)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+_UP, _DOWN = _powers(BASE), _powers(INVERSE)
+
+
+def _scaled(low: np.ndarray, places: np.ndarray, base: int) -> np.ndarray:
+    """base**place of each place, low being the powers below RUN."""
+    high = np.full(int(places.max(initial=0)) // RUN + 1, pow(base, RUN, 1 << 64), U)
+    high[0] = 1
+    return low[places % RUN] * np.multiply.accumulate(high)[places // RUN]
+
+
+def _sums(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Sum of (value + 1) * BASE**i over i < place, for places in order; of bounded memory but for the result."""
+    out, carry, scale, step = np.zeros(len(places), U), U(0), 1, pow(BASE, RUN, 1 << 64)
+    for at in range(0, len(values), RUN):
+        part = values[at : at + RUN].astype(U)
+        part += U(1)
+        part *= _UP[: len(part)]
+        np.cumsum(part, out=part)
+        part *= U(scale)
+        lo, hi = np.searchsorted(places, (at + 1, at + RUN + 1))
+        out[lo:hi] = part[places[lo:hi] - at - 1] + carry
+        carry += part[-1]
+        scale = scale * step % (1 << 64)
+    return out
 
 
 def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hash of values[start:end] for each span, wherever it lies."""
-    n = len(values)
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        _POWERS[:] = powers(max(n + 1, 1 << 16))
-    up, down = _POWERS
-    sums = np.empty(n + 1, U)
-    sums[0] = 0
-    np.cumsum(values * up[:n], out=sums[1:])
-    return (sums[end] - sums[start]) * down[start]
+    """Polynomial hash of values[start:end] for each span, wherever it lies; starts and ends must be in order."""
+    with np.errstate(over="ignore"):
+        return (_sums(values, end) - _sums(values, start)) * _scaled(_DOWN, start, INVERSE)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

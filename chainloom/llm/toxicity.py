@@ -36,12 +36,11 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each word and of its beginnings; repeats included."""
     w = Words(array, ALNUM, lower=True)
     doc = np.repeat(np.arange(len(w.n)), w.n)
-    values = w.text.astype(U) + U(1)
-    docs, out = [doc], [mixed(spans(values, w.start, w.end))]
+    docs, out = [doc], [w.hashes()]
     for n in HEADS:
         long = np.flatnonzero(w.end - w.start >= n)
         docs.append(doc[long])
-        out.append(mixed(spans(values, w.start[long], w.start[long] + n) + U(n)))
+        out.append(mixed(spans(w.text, w.start[long], w.start[long] + n) + U(n)))
     return np.concatenate(docs), (np.concatenate(out) & U(SIZE - 1)).astype(np.int32)
 
 
