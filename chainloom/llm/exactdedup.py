@@ -1,8 +1,9 @@
 """Exact dedup by a content sort.
 
 Sampled splitters range-partition the rows by (first characters of the
-normalised text, its hash, doc_id): the sample that the driver gathers holds
-no whole texts, and the doc_id lets a group of any size span partitions.
+normalised text, its hash, doc_id, place in the input): the sample that the
+driver gathers holds no whole texts, and the doc_id and the place let a group
+of any size span partitions, also of rows that repeat one doc_id.
 External sorting by (first characters, hash, text, doc_id) puts equal texts
 side by side, and a full comparison of each row with its neighbour finds the
 runs. Only runs with the first or the last key of a partition can go on in
@@ -18,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chainloom.llm.samples import fresh
 from chainloom.llm.text import bounded, pieces, raw
 from chainloom.session import written
 
@@ -88,7 +90,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("text"))
     rows = rows.select(F.substring("text", 1, HEAD).alias("head"), F.xxhash64("text").alias("hash"), "text", "doc_id")
     last = F.col("doc_id").asc_nulls_last()
-    dealt = rows.repartitionByRange(F.col("head"), F.col("hash"), last).sortWithinPartitions("head", "hash", "text", last)
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(F.col("head"), F.col("hash"), last, F.col("place")).drop("place").sortWithinPartitions("head", "hash", "text", last)
     runs = written(dealt.mapInArrow(_runs, RUNS), "exact-runs")
     edges = runs.where("edge and lead")
     first = F.struct("part", "run")
@@ -113,6 +116,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     # one column, so that the join and the choice of one row share a partitioning
     name = lambda id_, sha: F.concat_ws(":", sha, F.coalesce(id_.cast("string"), F.lit("-")))
-    held = exact_groups(docs, id_col, text_col).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    own = docs.withColumn("__key", name(F.col(id_col).cast("long"), F.sha2(normalised(F.col(text_col)), 256)))
-    return own.join(held, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    (key,) = fresh(docs.columns, "key")
+    held = exact_groups(docs, id_col, text_col).where("kept").select(name(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    own = docs.withColumn(key, name(F.col(id_col).cast("long"), F.sha2(normalised(F.col(text_col)), 256)))
+    return own.join(held, key, "left_semi").dropDuplicates([key]).drop(key)

@@ -2,8 +2,8 @@
 
 The network reads the bytes of a text in both directions, gives every position
 a probability of each language, and the mean over the positions is the
-document's. It is trained in numpy by backpropagation through time on passages
-of a bounded sample of labelled rows. A text is read in segments that overlap
+document's. It is trained in numpy by backpropagation through time on whole
+texts of a bounded sample of labelled rows, at places drawn anew in each step. A text is read in segments that overlap
 by MARGIN bytes, so all positions of all texts of a piece advance together; a
 position is labelled by the segment that it is not in the margin of.
 """
@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.llm.samples import thinned
+from chainloom.llm.samples import chosen, fresh
 from chainloom.llm.text import bounded, pieces, raw
 
 #: Units of each direction; bytes of a segment that are labelled; of its margins.
 UNITS, SEGMENT, MARGIN = 12, 240, 8
-#: Labelled rows that training takes at most, characters of a passage of them, and steps.
-SAMPLE, PASSAGE, STEPS = 3000, 400, 260
+#: Labelled rows that training takes at most, bytes of their texts together, and steps.
+SAMPLE, SAMPLE_BYTES, STEPS = 3000, 24 << 20, 260
 UND = "und"
 #: The symbol of a place outside the text, which leaves the state as it is: its update gate stays shut.
 PAD, SHUT = 256, -30
@@ -181,43 +181,49 @@ def trained(passages: list[bytes], labels: list[str], units: int = UNITS, steps:
     return net
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", steps: int = STEPS) -> Network:
-    """A network trained on at most sample passages of rows with a language that are not of the held-out fold.
+def fit(docs: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", steps: int = STEPS) -> Network:
+    """A network trained on at most sample rows with a language that are not of the held-out fold.
 
-    A passage is PASSAGE characters at a place that a hash of the row chooses.
+    Only such rows are counted and thinned, by a hash; their whole texts come
+    to at most size bytes.
     """
-    text, h = F.col(text_col), F.xxhash64(F.col(id_col), F.length(F.col(text_col)))
-    rows = thinned(docs, F.col(id_col), sample, docs.count()).where(text.isNotNull() & F.col(lang_col).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(id_col), folds, fold))
-    start = F.pmod(h, F.greatest(F.lit(1), F.length(text) - PASSAGE)).cast("int") + 1
-    rows = rows.select(h.alias("h"), F.substr(text, start, F.lit(PASSAGE)).alias("t"), F.col(lang_col).alias("l")).orderBy("h", "t", "l").limit(sample).collect()
-    return trained([r.t.encode() for r in rows], [r.l for r in rows], steps=steps)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("text") != "") & ~held_out(F.col("id"), folds, fold))
+    names = [F.col("id"), F.col("lang")]
+    held = chosen(rows, names, sample, size, rows.count())
+    h = F.xxhash64(*names, "text")
+    got = rows.where(h.isin(held)).select(h.alias("h"), "text", "lang").distinct().collect() if held else []  # what chosen has bounded
+    got.sort(key=lambda r: r.h)
+    return trained([r.text.encode() for r in got], [r.lang for r in got], steps=steps)
 
 
-def predicted(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """docs with __lang (a learned language, or und) and __score added.
+def predicted(docs: DataFrame, net: Network, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns lang (a learned language, or und) and score added; see samples.fresh for names that are free.
 
     und, with score 0, if the text is null or has no letter, or nothing was
     learned. Whole texts are read, however long. All columns are kept.
     """
+    if len(set(fresh(docs.columns, lang, score)) & {lang, score}) < 2:
+        raise ValueError(f"{lang} and {score} must not be columns already")
 
     def label(batches):
         for batch in pieces(batches, text_col, 512 << 10):
             data, offsets = raw(batch.column(text_col))
-            letter = np.concatenate([[0], np.cumsum(((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A))])[offsets]
-            some = np.diff(letter) > 0
+            letter = np.flatnonzero(((data | 0x20) >= 0x61) & ((data | 0x20) <= 0x7A))
+            some = np.diff(np.searchsorted(letter, offsets)) > 0
             for i in np.flatnonzero(~some & (np.diff(offsets) > 0)):
                 some[i] = any(c.isalpha() for c in data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace"))
             if net.languages:
                 p = net.pooled(data, offsets)
                 best = p.argmax(1)
-                lang = [net.languages[b] if s else UND for b, s in zip(best, some, strict=True)]
-                score = np.where(some, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
+                names = [net.languages[b] if s else UND for b, s in zip(best, some, strict=True)]
+                sure = np.where(some, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
             else:
-                lang, score = [UND] * len(some), np.zeros(len(some))
-            columns = {name: batch.column(name) for name in batch.schema.names} | {"__lang": pa.array(lang), "__score": pa.array(score)}
+                names, sure = [UND] * len(some), np.zeros(len(some))
+            columns = {name: batch.column(name) for name in batch.schema.names} | {lang: pa.array(names), score: pa.array(sure)}
             yield pa.record_batch(list(columns.values()), names=list(columns))
 
-    own = bounded(docs).withColumns({"__lang": F.lit(""), "__score": F.lit(0.0)})
+    own = bounded(docs).withColumns({lang: F.lit(""), score: F.lit(0.0)})
     return own.mapInArrow(label, own.schema)
 
 
@@ -230,4 +236,4 @@ def languages(docs: DataFrame, net: Network | None = None, folds: int = 3, fold:
     net = net or fit(docs, folds=folds, fold=fold, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = predicted(rows, net)
-    return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return out.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score")

@@ -1,6 +1,11 @@
-"""Near copies by exact Jaccard similarity of shingles: a join over prefixes with positional bounds.
+"""SimHash near-dedup at a similarity: near copies of a Jaccard similarity of 0.8 or more of their shingles.
 
-A text is the set of its shingles. All sets are ordered by one order, rare
+Fingerprints link near copies first, as in simhash; each such link is verified
+on the whole sets of shingles. Three bits reach only texts that are almost
+equal, so what they don't reach is completed by a join over prefixes with
+positional bounds, which compares no two texts that are linked already.
+
+There a text is the set of its shingles. All sets are ordered by one order, rare
 shingles first; two sets of Jaccard LEAST or more then share a shingle within
 the first n - ceil(LEAST * n) + 1 of each, and at the first one they share as
 many still follow as the overlap takes. So texts meet under the shingles of
@@ -14,11 +19,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.components import components
-from chainloom.llm.text import SPACES, U, Words, bounded, mixed, pieces, spans
+from chainloom.llm.samples import fresh
+from chainloom.llm.simhash import fingerprints
+from chainloom.llm.simhash import links as linked
+from chainloom.llm.text import LONG, SPACES, U, Words, bounded, mixed, pieces, sections, spans
 from chainloom.session import written
 
 #: Words of a shingle. The least Jaccard similarity is 4/5, here in integers: 5 * overlap >= 4 * union.
@@ -29,13 +38,13 @@ SLOTS, SMALL, PIVOTS = 1 << 18, 32, 4
 
 def shingled(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles of each text, in order; one of fewer words is one shingle, also one of none."""
+    if len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > LONG:
+        h = np.unique(np.concatenate([np.unique(_hashes(w, size)[1]) for _, _, w in sections(texts, SPACES, lower=True, overlap=size - 1)]))
+        return (np.zeros(len(h), np.int64), h) if len(h) else (np.zeros(1, np.int64), np.zeros(1, U))
     w = Words(texts, SPACES, lower=True)
-    short = np.minimum(w.n, size)
-    last = np.arange(w.count) + np.repeat(np.maximum(short - 1, 0), w.n)
-    starts = np.flatnonzero(last < np.repeat(w.first[1:], w.n))
-    h = mixed(spans(w.text, w.start[starts], w.end[last[starts]]))
+    of, h = _hashes(w, size)
     none = np.flatnonzero(w.n == 0)
-    of, h = np.concatenate([np.repeat(np.arange(len(w.n)), w.n)[starts], none]), np.concatenate([h, np.zeros(len(none), U)])
+    of, h = np.concatenate([of, none]), np.concatenate([h, np.zeros(len(none), U)])
     order = np.lexsort((h, of))
     of, h = of[order], h[order]
     new = np.ones(len(h), bool)
@@ -43,6 +52,14 @@ def shingled(texts: pa.Array, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]
     return of[new], h[new]
 
 
+def _hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of each shingle."""
+    short = np.minimum(w.n, size)
+    last = np.arange(w.count) + np.repeat(np.maximum(short - 1, 0), w.n)
+    starts = np.flatnonzero(last < np.repeat(w.first[1:], w.n))
+    return np.repeat(np.arange(len(w.n)), w.n)[starts], mixed(spans(w.text, w.start[starts], w.end[last[starts]]))
+
+
 def frequencies(keyed: DataFrame, size: int) -> np.ndarray:
     """How many shingles of texts fall into each of SLOTS slots."""
 
@@ -145,22 +162,34 @@ def verified(pairs: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
 
 
+def proposed(keyed: DataFrame, size: int) -> DataFrame:
+    """Pairs (a, b) of keys that fingerprints link: each text with the first of its fingerprint, these along the links."""
+    prints = written(fingerprints(keyed.withColumnRenamed("key", "doc_id"), size).select(F.col("doc_id").alias("key"), "fp"), "near-prints")
+    first = written(prints.groupBy("fp").agg(F.min("key").alias("first")), "near-first")
+    same = prints.join(first, "fp").where("key != first").select("first", "key")
+    across = linked(first.select("fp")).join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
+    return same.union(across).select(F.least("first", "key").alias("a"), F.greatest("first", "key").alias("b")).distinct()
+
+
 def near_copies(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those whose group of near copies has a row of a smaller doc_id, with all columns.
+    """docs with one row of each group of near copies, that of the smallest doc_id, with all columns.
 
     Groups are what pairs of a Jaccard similarity of 0.8 or more of their
     shingles of size words connect. A null text has no words; such texts are
     copies of each other. Rows without a doc_id come after all others; of
-    different texts under the smallest doc_id one is kept, repeated rows stay
-    repeated. An empty table gives an empty table.
+    different texts under the smallest doc_id one is kept, of rows that repeat
+    both one. An empty table gives an empty table.
     """
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     keyed = bounded(docs).select(key.alias("key"), F.col(text_col).alias("text"))
-    todo, links, roots, width = prefixes(keyed, size).withColumn("label", F.col("key")), None, None, PIVOTS
+    links = written(verified(proposed(keyed, size), keyed, size), "near-links")
+    roots = written(components(links), "near-roots")
+    entries = written(prefixes(keyed, size), "near-prefixes")
+    todo, width = entries.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", "n", "pos", F.coalesce("root", "key").alias("label")), PIVOTS
     while True:
         met = written(todo.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_met(width), "token long, key long, n long, pos long, a long, b long"), "near-met")
         new = written(verified(met.where("a is not null").select("a", "b").distinct(), keyed, size), "near-links")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         roots = written(components(links), "near-roots")
         left = met.where("a is null").select("token", "key", "n", "pos")
         if left.isEmpty():
@@ -169,5 +198,6 @@ def near_copies(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_
         width *= 4
     own = docs.select(key.alias("key"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), key.alias("key")).alias("rank"))
     members = written(own.join(roots.select(F.col("node").alias("key"), "root"), "key"), "near-members")
-    gone = members.join(members.groupBy("root").agg(F.min("rank").alias("least")), "root").where("key != least.key").select(F.col("key").alias("__key")).distinct()
-    return docs.join(gone, key == F.col("__key"), "left_anti")
+    (name,) = fresh(docs.columns, "key")
+    gone = members.join(members.groupBy("root").agg(F.min("rank").alias("least")), "root").where("key != least.key").select(F.col("key").alias(name)).distinct()
+    return docs.withColumn(name, key).join(gone, name, "left_anti").dropDuplicates([name]).drop(name)

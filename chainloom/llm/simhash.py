@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.components import components
-from chainloom.llm.text import SPACES, Words, bounded, pieces
+from chainloom.llm.samples import fresh
+from chainloom.llm.text import SPACES, Words, bounded, is_long, pieces, sections
 from chainloom.session import written
 
 TAU = 3
@@ -33,33 +34,43 @@ CROWD = 8192
 ENTRY_COST = 40.0
 
 
-def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a bit is set if it is set in over half the shingles' XXH64."""
+def _bit_sums(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: its shingles, and how many of them set each bit."""
+    short = np.minimum(w.n, size)
+    last = np.arange(w.count) + np.repeat(np.maximum(short - 1, 0), w.n)
+    starts = np.flatnonzero(last < np.repeat(w.first[1:], w.n))
+    of = np.repeat(np.arange(len(w.n)), w.n)[starts]
+    text, digest = w.text.tobytes(), xxhash.xxh64_intdigest
+    h = np.fromiter((digest(text[s:e], 42) for s, e in zip(w.start[starts].tolist(), w.end[last[starts]].tolist(), strict=True)), np.uint64, len(starts))
+    n, sums = np.bincount(of, minlength=len(w.n)), np.zeros((len(w.n), 64), np.int64)
+    at = np.concatenate([[0], np.cumsum(n)])
+    for i in np.flatnonzero(n):  # faster than reduceat along the first axis
+        bits = np.unpackbits(h[at[i] : at[i + 1]].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums[i] = bits.sum(axis=0, dtype=np.int64)
+    return n, sums
+
+
+def fingerprints(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", named: bool = False) -> DataFrame:
+    """(doc_id, fp): a bit is set if it is set in over half the shingles' XXH64. A long text is read in sections.
+
+    doc_id is a number, or anything where the rows are named otherwise.
+    """
 
     def prints(batches):
         for batch in pieces(batches, "text", 2 << 20):
-            w = Words(batch.column("text"), SPACES, lower=True)
-            fp = np.zeros(batch.num_rows, np.uint64)
-            short = np.minimum(w.n, size)
-            last = np.arange(w.count) + np.repeat(np.maximum(short - 1, 0), w.n)
-            starts = np.flatnonzero(last < np.repeat(w.first[1:], w.n))
-            of = np.repeat(np.arange(batch.num_rows), w.n)[starts]
-            text, digest = w.text.tobytes(), xxhash.xxh64_intdigest
-            h = np.fromiter((digest(text[s:e], 42) for s, e in zip(w.start[starts].tolist(), w.end[last[starts]].tolist(), strict=True)), np.uint64, len(starts))
-            n = np.bincount(of, minlength=batch.num_rows)
-            some = np.flatnonzero(n)
-            if len(some):
-                bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                at = np.concatenate([[0], np.cumsum(n[some])])
-                sums = np.empty((len(some), 64), np.int64)
-                for i in range(len(some)):  # faster than reduceat along the first axis
-                    sums[i] = bits[at[i] : at[i + 1]].sum(axis=0, dtype=np.int64)
-                over = 2 * sums > n[some][:, None]
-                fp[some] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
+            if is_long(batch):
+                n, sums = 0, 0
+                for _, _, w in sections(batch.column("text"), SPACES, lower=True, overlap=size - 1):
+                    more, own = _bit_sums(w, size)
+                    n, sums = n + more, sums + own
+            else:
+                n, sums = _bit_sums(Words(batch.column("text"), SPACES, lower=True), size)
+            fp = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
             yield pa.record_batch([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(prints, "doc_id long, fp long")
+    own = F.col(id_col) if named else F.col(id_col).cast("long")
+    rows = bounded(docs).select(own.alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(prints, rows.select("doc_id", F.lit(0).cast("long").alias("fp")).schema)
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -271,10 +282,23 @@ def near_groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col
 
 
 def near_dedup(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is that of their group, with all their columns; one row for a doc_id.
+    """docs with one row of each group of near copies, with all columns.
 
-    Rows without a doc_id stay only if their whole group has none.
+    It is the row with the smallest doc_id, of several of these one with the
+    least hash of its text; a null doc_id comes after all others. Rows that
+    repeat both are copies too: one of them stays. Groups are those of
+    near_groups.
     """
-    out = near_groups(docs, size, id_col, text_col)
-    kept = out.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    digest, fp = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), "fp"
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("sha"), F.col(text_col).alias("text"))
+    # the hash travels with the row in place of its text
+    prints = written(fingerprints(own.select(F.struct("doc_id", "sha").alias("doc_id"), "text"), size, named=True), "simhash-prints")
+    distinct = written(prints.select(fp).distinct(), "simhash-distinct")
+    roots = components(links(distinct))
+    rank = F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.sha").alias("sha"))
+    member = prints.join(roots.withColumnRenamed("node", fp), fp, "left").select(F.coalesce("root", fp).alias("root"), rank.alias("rank"))
+    name = lambda id_, sha: F.concat_ws(":", sha, F.coalesce(id_.cast("string"), F.lit("-")))
+    least = member.groupBy("root").agg(F.min("rank").alias("rank")).select(name(F.col("rank.doc_id"), F.col("rank.sha")))
+    (key,) = fresh(docs.columns, "key")
+    out = docs.withColumn(key, name(F.col(id_col).cast("long"), digest)).join(least.toDF(key), key, "left_semi")
+    return out.dropDuplicates([key]).drop(key)

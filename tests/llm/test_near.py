@@ -1,9 +1,11 @@
+import hashlib
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import types as T
 
-from chainloom.llm.simhash import TAU, links, near_dedup, near_groups, thresholds
+from chainloom.llm.simhash import TAU, fingerprints, links, near_dedup, near_groups, thresholds
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType()), T.StructField("root", T.StringType())])
 
@@ -74,7 +76,7 @@ def test_crowded_buckets_lose_no_link(spark):
         return i
 
     for a, b in found:
-        assert (a ^ b & (1 << 64) - 1).bit_count() >= 0 and want[at[a]] == want[at[b]]
+        assert ((a ^ b) & (1 << 64) - 1).bit_count() <= TAU and want[at[a]] == want[at[b]]
         root[find(at[a])] = find(at[b])
     assert len({find(i) for i in root}) == len(set(want))
 
@@ -90,6 +92,41 @@ def test_thresholds_satisfy_the_pigeonhole(spark):
         assert len({b for part, _ in plan for b in part}) == sum(len(part) for part, _ in plan)
 
 
+def test_near_dedup_against_brute_force_with_nulls_and_repeats(spark):
+    r = random.Random(6)
+    words = ["wort%d" % i for i in range(200)]
+    base = [" ".join(r.choice(words) for _ in range(r.randint(20, 90))) for _ in range(8)]
+    a, b, c = base[:3]
+    rows = [(1, a, "x", "y"), (1, a, "x", "z"), (None, a, None, None), (None, b, None, None), (2, c, None, None)]
+    for t in base[3:]:
+        for _ in range(r.randint(1, 5)):
+            parts = t.split(" ")
+            parts[r.randrange(len(parts))] = r.choice(words)
+            rows.append((r.choice([None, *range(3, 9)]), " ".join(parts), None, None))
+    group = classes([fingerprint(t) for _, t, *_ in rows])
+    want = {}
+    for (i, t, *_), g in zip(rows, group, strict=True):
+        rank = (i is None, i or 0, hashlib.sha256(t.encode()).hexdigest())
+        want[g] = min(want.get(g, (rank, i, t)), (rank, i, t), key=lambda x: x[0])
+    schema = T.StructType(DOCS.fields[:2] + [T.StructField("key", T.StringType()), T.StructField("_key", T.StringType())])
+    got = near_dedup(spark.createDataFrame(rows, schema))
+    assert got.columns == ["doc_id", "text", "key", "_key"]
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=repr) == sorted(((i, t) for _, i, t in want.values()), key=repr)
+
+
+def test_a_long_text_has_the_fingerprint_of_its_whole(spark):
+    r = random.Random(2)
+    text = " ".join(f"W{r.randrange(10**9)}" for _ in range(900000))
+    assert len(text) > 8 << 20
+    h = np.zeros(64, np.int64)
+    words = text.lower().split(" ")
+    own = np.fromiter((xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(len(words) - 2)), np.uint64)
+    for b in range(64):
+        h[b] = int(((own >> np.uint64(b)) & np.uint64(1)).sum())
+    want = sum(1 << b for b in range(64) if 2 * h[b] > len(own))
+    assert fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().fp & (1 << 64) - 1 == want
+
+
 def test_near_dedup_keeps_one_of_each_group_and_takes_an_empty_table(spark):
     docs = spark.createDataFrame([(3, "a b c d e", None, None), (1, "a b c d e", None, None), (2, "other words entirely different", None, None)], DOCS)
     assert sorted(x.doc_id for x in near_dedup(docs).collect()) == [1, 2]

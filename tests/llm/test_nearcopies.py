@@ -57,6 +57,6 @@ def test_the_stage_finds_all_pairs_of_jaccard_four_fifths(spark):
 
 
 def test_an_empty_table_and_rows_without_an_id(spark):
-    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (None, "alone here")], DOCS)
+    docs = spark.createDataFrame([(None, "a b c d e f"), (4, "A b c d e f"), (4, "A b c d e f"), (None, "alone here")], DOCS)
     assert sorted((x.doc_id is None, x.text) for x in near_copies(docs).collect()) == [(False, "A b c d e f"), (True, "alone here")]
     assert near_copies(docs.limit(0)).collect() == []
