@@ -3,6 +3,11 @@
 Each stage is a function of (spark, docs, sf_dir) that works on all rows its
 predecessor kept; its result is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents.
+
+A null or letterless text goes in the first stage; empty and repeated texts
+leave one row; rows without a doc_id come after those with one; texts of any
+length are read whole; an empty table gives an empty table; further columns
+are kept up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ from chainloom.llm.exactdedup import exact_dedup
 from chainloom.llm.languages import UND, fit, predicted
 from chainloom.llm.nearcopies import near_copies
 from chainloom.llm.pieces import encoded
+from chainloom.llm.samples import fresh
 from chainloom.session import written
 
 #: Least mean probability of a language that keeps a document. A text of two or three languages has more and stays;
@@ -24,8 +30,9 @@ CONFIDENT = 0.35
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter and a language of at least CONFIDENT; lang becomes what was predicted."""
-    out = predicted(docs, fit(docs)).where((F.col("__lang") != UND) & (F.col("__score") >= CONFIDENT))
-    return out.select(*(F.col("__lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    lang, score = fresh(docs.columns, "lang_pred", "lang_score")
+    out = predicted(docs, fit(docs), lang=lang, score=score).where((F.col(lang) != UND) & (F.col(score) >= CONFIDENT))
+    return out.select(*(F.col(lang).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +41,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies the one with the smallest doc_id: 5-word shingles, Jaccard 0.8 or more."""
+    """Of a group of near copies the one with the smallest doc_id: 5-word shingles, Jaccard 0.8 or more.
+
+    Fingerprints link first; what three bits don't reach is completed exactly.
+    """
     return near_copies(docs)
 
 
