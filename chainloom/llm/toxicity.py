@@ -2,24 +2,30 @@
 
 A text is the set of its words and of their first bytes, hashed. A logistic
 regression with an L1 penalty is fitted to a bounded sample of labelled rows.
-Counterfactuals are added to its loss: where a labelled text names a group,
-the term is swapped for others of its language's list; where none does, one is
-put in; and the change of the score is penalised, so that naming a group does
-not move it.
+Each of these texts is written again: where it names a group, every such term
+is swapped for another of its language's list; where it names none, a term is
+put in. The features of both texts are taken, and the difference of their
+scores is penalised, so that naming a group does not move the score.
 """
 
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainloom.llm.samples import thinned
-from chainloom.llm.text import ALNUM, U, Words, bounded, mixed, pieces, spans
+from chainloom.llm.text import ALNUM, LONG, U, Words, bounded, mixed, pieces, sections, spans
 
-#: Hash buckets, lengths in bytes of word beginnings that are features, labelled rows that training takes of each label.
-SIZE, HEADS, SAMPLE = 1 << 18, (4, 5, 6), 3000
+#: Hash buckets, lengths in bytes of word beginnings that are features.
+SIZE, HEADS = 1 << 18, (4, 5, 6)
+#: Labelled rows that training takes of each label, and bytes of their texts together.
+SAMPLE, SAMPLE_BYTES = 3000, 12 << 20
 #: Weights of the L1, L2 and counterfactual penalties; steps.
 L1, L2, COUNTERFACTUAL, STEPS = 1e-3, 1e-5, 0.05, 120
 
@@ -32,9 +38,8 @@ IDENTITIES = [
 ]
 
 
-def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of each word and of its beginnings; repeats included."""
-    w = Words(array, ALNUM, lower=True)
     doc = np.repeat(np.arange(len(w.n)), w.n)
     docs, out = [doc], [w.hashes()]
     for n in HEADS:
@@ -44,13 +49,67 @@ def features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), (np.concatenate(out) & U(SIZE - 1)).astype(np.int32)
 
 
-def distinct(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature), each pair once, in order."""
-    doc, f = features(array)
-    pair = np.unique(doc.astype(np.int64) * SIZE + f)
+def _read(array: pa.Array):
+    """The words of texts; of a long one in sections."""
+    if len(array) == 1 and (pc.binary_length(array)[0].as_py() or 0) > LONG:
+        for _, _, w in sections(array, ALNUM, lower=True):
+            yield w
+    else:
+        yield Words(array, ALNUM, lower=True)
+
+
+def distinct(array: pa.Array, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature), each pair once, in order; with weights only of features that have one."""
+    found = []
+    for w in _read(array):
+        doc, f = features(w)
+        if weights is not None:
+            live = np.flatnonzero(weights[f])
+            doc, f = doc[live], f[live]
+        found.append(np.unique(doc.astype(np.int64) * SIZE + f))
+    pair = found[0] if len(found) == 1 else np.unique(np.concatenate(found))
     return pair // SIZE, (pair % SIZE).astype(np.int32)
 
 
+#: Of each term the list that it is in.
+GROUP = {term: group for group in reversed(IDENTITIES) for term in group}
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def swapped(text: str, seed: int) -> str:
+    """text with each term that names a group in place of another of its list, or with a term put in where it names none.
+
+    A word keeps a capital at its beginning; the rest of the text stays as it is.
+    """
+    rng = random.Random(seed)
+    named = False
+
+    def other(m: re.Match) -> str:
+        nonlocal named
+        word = m.group()
+        group = GROUP.get(word.lower())
+        if not group:
+            return word
+        named = True
+        new = rng.choice([t for t in group if t != word.lower()])
+        return new.capitalize() if word[0].isupper() else new
+
+    out = TERM.sub(other, text)
+    return out if named else f"{text} {rng.choice(rng.choice(IDENTITIES))}"
+
+
+def differences(texts: pa.Array, seeds: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the features that its swapped text has and it has not, and those that only it has."""
+    new = pa.array([swapped(t or "", s) for t, s in zip(texts.to_pylist(), seeds, strict=True)], pa.large_string())
+    (a, f), (b, g) = distinct(texts), distinct(new)
+    old, new = a * SIZE + f, b * SIZE + g
+    out = []
+    for diff in (np.setdiff1d(new, old, True), np.setdiff1d(old, new, True)):
+        at = np.searchsorted(diff, np.arange(len(texts) + 1) * SIZE)
+        out.append([(diff[i:j] % SIZE).astype(np.int32) for i, j in zip(at[:-1], at[1:], strict=True)])
+    return list(zip(*out, strict=True))
+
+
 class Model:
     """Weights of the features and a constant."""
 
@@ -58,68 +117,63 @@ class Model:
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
     def scores(self, array: pa.Array) -> np.ndarray:
-        doc, f = features(array)
-        live = np.flatnonzero(self.weights[f])
-        pair = np.unique(doc[live].astype(np.int64) * SIZE + f[live])
-        total = np.bincount(pair // SIZE, weights=self.weights[pair % SIZE], minlength=len(array)) + self.bias
+        doc, f = distinct(array, self.weights)
+        total = np.bincount(doc, weights=self.weights[f], minlength=len(array)) + self.bias
         return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
-def counterfactuals(doc: np.ndarray, f: np.ndarray, texts: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pair, feature, sign): how the features of a text change when a term is swapped, or put in where there is none."""
-    rng = np.random.default_rng(seed)
-    terms = [[distinct(pa.array([t]))[1] for t in group] for group in IDENTITIES]
-    whole = [[int(features(pa.array([t]))[1][0]) for t in group] for group in IDENTITIES]
-    rows: list[tuple[np.ndarray, np.ndarray | None]] = []
-    named = np.zeros(texts, bool)
-    for group, words in zip(terms, whole, strict=True):
-        for k, word in enumerate(words):
-            holders = np.unique(doc[f == word])
-            named[holders] = True
-            for _ in holders:
-                other = int(rng.integers(len(group)))
-                if other != k:
-                    rows.append((group[other], group[k]))
-    for _ in np.flatnonzero(~named):
-        group = terms[int(rng.integers(len(terms)))]
-        rows.append((group[int(rng.integers(len(group)))], None))
-    pair, feature, sign = [], [], []
-    for i, (new, old) in enumerate(rows):
-        for fs, s in ((new, 1.0), (old, -1.0)):
-            if fs is not None:
-                pair.append(np.full(len(fs), i)), feature.append(fs), sign.append(np.full(len(fs), s))
-    return np.concatenate(pair), np.concatenate(feature), np.concatenate(sign)
-
-
-def trained(doc: np.ndarray, f: np.ndarray, y: np.ndarray, prior: float | None = None, strength: float = COUNTERFACTUAL) -> Model:
-    """A model fitted by accelerated proximal gradient steps to texts given as (text, feature) pairs.
+class Example:
+    """Features of a labelled text, and how those of its swapped text differ."""
+
+    def __init__(self, own: np.ndarray, more: np.ndarray, less: np.ndarray, label: float):
+        self.own, self.more, self.less, self.label = own, more, less, label
+
+
+def examples(texts: list[str], labels: list[float]) -> list[Example]:
+    array = pa.array(texts, pa.large_string())
+    doc, f = distinct(array)
+    at = np.searchsorted(doc, np.arange(len(texts) + 1))
+    return [Example(f[a:b], *d, y) for a, b, d, y in zip(at[:-1], at[1:], differences(array, list(range(len(texts)))), labels, strict=True)]
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([*lists, np.zeros(0, np.int32)])
+
+
+def trained(rows: list[Example], prior: float | None = None, strength: float = COUNTERFACTUAL) -> Model:
+    """A model fitted by accelerated proximal gradient steps.
 
     Features of fewer than three texts are left out. The L1 penalty selects
     features first; those are then fitted again without it, as it shrinks them. prior is the share of
     label 1 among all labelled rows; the constant is moved to it.
     """
+    y = np.array([r.label for r in rows])
+    doc, f = _flat([r.own for r in rows])
+    more, less = _flat([r.more for r in rows]), _flat([r.less for r in rows])
+    pair, cf = np.concatenate([more[0], less[0]]), np.concatenate([more[1], less[1]])
+    sign = np.concatenate([np.ones(len(more[0])), -np.ones(len(less[0]))])
     n = len(y)
     if not n or y.min() == y.max():
         return Model(np.zeros(SIZE), 3.0 if n and y[0] else -3.0)
     common = np.bincount(f, minlength=SIZE) >= 3
     keep = common[f]
     doc, f = doc[keep], f[keep]
-    w, bias = _fitted(doc, f, y, np.zeros(SIZE), float(np.log(y.mean() / (1 - y.mean()))), L1, strength)
+    changes = tuple(x[common[cf]] for x in (pair, cf, sign))
+    w, bias = _fitted(doc, f, y, changes, np.zeros(SIZE), float(np.log(y.mean() / (1 - y.mean()))), L1, strength)
     live = w[f] != 0
-    w, bias = _fitted(doc[live], f[live], y, w, bias, 0.0, strength)
+    w, bias = _fitted(doc[live], f[live], y, changes, w, bias, 0.0, strength)
     share = y.mean()
     if prior and 0 < prior < 1:
         bias += np.log(prior / (1 - prior)) - np.log(share / (1 - share))
     return Model(w, bias)
 
 
-def _fitted(doc, f, y, w, bias, l1: float, strength: float) -> tuple[np.ndarray, float]:
-    n = len(y)
-    pair, cf, sign = counterfactuals(doc, f, n)
+def _fitted(doc, f, y, changes, w, bias, l1: float, strength: float) -> tuple[np.ndarray, float]:
+    n = pairs = len(y)
+    pair, cf, sign = changes
     if not l1:  # only what was selected moves
         selected = w[cf] != 0
         pair, cf, sign = pair[selected], cf[selected], sign[selected]
-    pairs = int(pair.max(initial=0)) + 1
     v, vb, t = w, bias, 1.0
     rate = 4.0 / (1 + np.sqrt(np.bincount(doc, minlength=n).max()))
     rate /= 1 + 16 * strength * rate
@@ -144,40 +198,54 @@ def held_out(doc_id, folds: int, fold: int):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % folds == fold
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model trained on at most sample texts of each label, of rows outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model trained on at most sample whole texts of each label, of rows outside the held-out fold.
 
-    Which ones is by a hash of doc_id. Null labels and null ids are left out; of
-    several labels of one doc_id the larger counts. The share of label 1 is
-    that of all labelled rows outside the fold.
+    They are taken in order of a hash of doc_id and text, and come to at most
+    size bytes a label; a text too long for what is left is passed over. Null
+    labels and null ids are left out; of several labels of one doc_id the
+    larger counts, of several texts each is one. The share of label 1 is that
+    of all labelled rows outside the fold.
     """
-    own = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("y")).where("__id is not null and y is not null")
-    own = own.where(~held_out(F.col("__id"), folds, fold)).groupBy("__id").agg(F.max("y").alias("y"))
-    n, ones = own.agg(F.count("*"), F.sum((F.col("y") > 0).cast("int"))).first()
-    h = F.xxhash64("__id")
-    sides = [thinned(own.where(side), F.col("__id"), sample, count).orderBy(h, "__id").limit(sample) for side, count in (("y > 0", ones or 0), ("y <= 0", n - (ones or 0)))]
-    chosen = sides[0].unionByName(sides[1])
-    # 2 * sample rows at most
-    rows = bounded(docs).select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "__id")
+    own = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null")
+    own = own.where(~held_out(F.col("id"), folds, fold)).groupBy("id").agg((F.max("y") > 0).cast("int").alias("y"))
+    n, ones = own.agg(F.count("*"), F.sum("y")).first()
+    ones = ones or 0
+    h = F.xxhash64("id")
+    sides = [thinned(own.where(f"y = {y}"), F.col("id"), sample, count).orderBy(h, "id").limit(sample) for y, count in ((1, ones), (0, n - ones))]
+    # 2 * sample ids at most
+    ids = F.broadcast(sides[0].unionByName(sides[1]))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(ids, "id")
+    rows = rows.withColumn("h", F.xxhash64("id", "text"))
+    sizes = rows.select("y", "h", F.octet_length("text").alias("n")).distinct()
+    held: list[int] = []
+    for y in (1, 0):
+        left = size
+        for r in sizes.where(f"y = {y}").orderBy("h").limit(sample).collect():
+            if r.n <= left:
+                held.append(r.h)
+                left -= r.n
+    if not held:
+        return trained([])
 
     def encode(batches):
         for batch in pieces(batches, "text", 1 << 20):
             doc, f = distinct(batch.column("text"))
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            yield pa.record_batch([batch.column("__id"), batch.column("y"), pa.array([f[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "y", "f"])
+            more, less = zip(*differences(batch.column("text"), batch.column("h").to_pylist()), strict=True)
+            lists = [f[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], more, less
+            yield pa.record_batch([batch.column("h"), batch.column("y"), *(pa.array([x.tobytes() for x in own], pa.binary()) for own in lists)], names=["h", "y", "own", "more", "less"])
 
-    got = rows.mapInArrow(encode, "id long, y int, f binary").limit(4 * sample).collect()
-    got.sort(key=lambda r: (r.id, bytes(r.f)))
-    lists = [np.frombuffer(r.f, np.int32) for r in got]
-    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    f = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-    return trained(doc, f, np.array([float(r.y > 0) for r in got]), (ones or 0) / n if n else None)
+    got = rows.where(F.col("h").isin(held)).dropDuplicates(["h"]).select("h", "y", "text").mapInArrow(encode, "h long, y int, own binary, more binary, less binary").collect()
+    got.sort(key=lambda r: r.h)
+    return trained([Example(*(np.frombuffer(x, np.int32) for x in (r.own, r.more, r.less)), float(r.y)) for r in got], ones / n)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame | None = None, model: Model | None = None, folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of docs.
 
     A null or empty text has no features: its score is that of the constant.
+    Texts are read whole, long ones in sections. Other columns are not looked at.
     A null doc_id counts as the empty text in the fold. Without labels of both
     kinds all texts get one score. An empty table gives an empty table.
     """

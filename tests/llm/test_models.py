@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -49,17 +50,50 @@ def test_languages_held_out_accuracy_and_cases(spark):
     assert {(r.lang_pred, r.score) for r in L.languages(nothing).collect()} == {(L.UND, 0.0)}
 
 
-def test_pooling_is_the_mean_over_positions():
+def test_pooling_against_one_run_over_the_whole_text():
+    """Every position of a text of several segments is labelled as in a segment of its own with margins, computed one by one."""
     net = L.Network(["a", "b"], units=4, seed=3)
     rng = random.Random(1)
-    texts = [bytes(rng.randrange(97, 123) for _ in range(n)) for n in (0, 1, 100, 240, 241, 1000)]
+    texts = [bytes(rng.randrange(97, 123) for _ in range(n)) for n in (0, 1, 100, 240, 241, 500, 1000)]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     got = net.pooled(data, offsets)
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def states(direction, symbols):
+        h, k, out = np.zeros(4), 4, []
+        for s in symbols:
+            x = direction.x[s].astype(float)
+            gates = sigmoid(x[: 2 * k] + h @ direction.gates)
+            c = np.tanh(x[2 * k :] + (gates[k:] * h) @ direction.state)
+            h = h + gates[:k] * (c - h)
+            out.append(h)
+        return out
+
     for text, p in zip(texts, got, strict=True):
-        if len(text) <= L.SEGMENT and text:
-            own = net.probabilities(np.frombuffer(text, np.uint8).astype(np.int16)[:, None])[:, 0].mean(0)
-            assert np.allclose(own, p, atol=1e-4)
-        assert np.isclose(p.sum(), 1 if text else 0, atol=1e-4)
+        total = np.zeros(2)
+        for at in range(0, len(text), L.SEGMENT):
+            lo, hi = max(0, at - L.MARGIN), min(len(text), at + L.SEGMENT + L.MARGIN)
+            ahead, behind = states(net.along, text[lo:hi]), states(net.back, text[lo:hi][::-1])[::-1]
+            for i in range(at, min(at + L.SEGMENT, len(text))):
+                z = np.concatenate([ahead[i - lo], behind[i - lo]]) @ net.top + net.bias
+                total += np.exp(z) / np.exp(z).sum()
+        assert np.allclose(total / max(1, len(text)), p, atol=2e-3)
+
+
+def test_training_takes_all_rows_that_it_may(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "trained", lambda texts, labels, steps: seen.append((texts, labels)))
+    rows = [(i, f"text {i} " + "w " * 300, "en" if i % 100 == 0 else None) for i in range(20000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    L.fit(docs, sample=3000)
+    may = {t.encode() for i, t, lang in rows if lang and zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(seen[0][0]) == may and len(may) > 100  # whole texts, none cut
+    L.fit(docs, sample=20)
+    assert len(seen[1][0]) == 20
+    L.fit(docs, size=5000)
+    assert sum(map(len, seen[2][0])) <= 5000 and len(seen[2][0]) >= 7
 
 
 def test_toxicity_held_out_and_counterfactuals(spark):
@@ -76,6 +110,51 @@ def test_toxicity_held_out_and_counterfactuals(spark):
     assert X.toxicity(docs.limit(0), model=model).collect() == []
 
 
+def test_scores_against_a_reading_by_hand(spark):
+    """Scores of words, of their beginnings, of long and odd texts, computed from the weights text by text."""
+    rng = np.random.default_rng(3)
+    model = X.Model(np.where(rng.random(X.SIZE) < 0.3, rng.normal(size=X.SIZE), 0), -0.3)
+    number = lambda piece, n: int(X.mixed(X.spans(np.frombuffer(piece, np.uint8), np.array([0]), np.array([len(piece)])) + X.U(n))[0]) & X.SIZE - 1
+    texts = [None, "", "idiots all", "Ein Ünding, größer als 7!", "a b a b", "wörter " * 3000 + "end", " ".join(f"w{i % 5000}x" for i in range(1500000))]
+    assert len(texts[-1]) > X.LONG
+    rows = [(i, t, 1, "x", 0.5, 7) for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in X.toxicity(spark.createDataFrame(rows, "doc_id long, text string, held_out int, h string, score double, y int"), model=model).collect()}
+    for i, text in enumerate(texts):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode()
+        f = set()
+        for word in set(re.findall(rb"[0-9a-z\x80-\xff]+", low)):
+            f |= {number(word, 0), *(number(word[:n], n) for n in X.HEADS if len(word) >= n)}
+        want = 1 / (1 + np.exp(-np.clip(sum(float(model.weights[k]) for k in f) + model.bias, -30, 30)))
+        assert abs(got[i].score - want) < 1e-4 and got[i].predicted == (got[i].score >= 0.5)
+
+
+def test_swapped_sentences():
+    assert X.swapped("nothing here", 1).startswith("nothing here ") and X.swapped("nothing here", 1).split(" ")[-1] in X.GROUP
+    out = X.swapped("Muslims, and the muslimsx of Rome; Frauen!", 3)
+    assert re.fullmatch(r"[A-Z][a-z]+, and the muslimsx of Rome; [A-ZÄÖÜ][a-zäöüß]+!", out) and not out.startswith("Muslims,") and "Frauen" not in out
+    # a beginning that another word of the text also has does not change
+    (more, less), *_ = X.differences(pa.array(["blackmail of black cats"]), [5])
+    heads = set(X.distinct(pa.array(["blac blackm black"]))[1])
+    own, rest = set(X.distinct(pa.array(["blackmail of cats"]))[1]), set(less.tolist())
+    assert not rest & own and rest and set(more.tolist()).isdisjoint(own) and heads
+
+
+def test_fit_takes_each_text_once_and_no_more_than_its_bounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(X, "trained", lambda rows, prior=None: seen.append((rows, prior)))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(ids[0], f"text {ids[0]}")] * 40 + [(ids[1], "another text")] + [(None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(999, 1), (None, 1), (ids[2], None)], "doc_id long, toxic int")
+    X.fit(docs, labels)
+    X.fit(docs.repartition(7), labels.repartition(3))
+    assert len(seen[0][0]) == len(ids) + 1
+    assert [r.own.tolist() for r in seen[0][0]] == [r.own.tolist() for r in seen[1][0]]
+    X.fit(docs, labels, size=40)
+    assert 2 <= len(seen[2][0]) <= 2 * 6
+    X.fit(docs, labels.limit(0))
+    assert seen[3][0] == []
+
+
 def test_counterfactuals_take_the_weight_from_identity_terms():
     rng = random.Random(4)
     words = [f"w{i}" for i in range(80)]
@@ -87,12 +166,12 @@ def test_counterfactuals_take_the_weight_from_identity_terms():
             own.append("muslims")
         texts.append(" ".join(own))
         y.append(float(toxic))
-    doc, f = X.distinct(pa.array(texts))
+    rows = X.examples(texts, y)
     neutral = pa.array(["muslims met for w1 w2"])
-    plain, fair = X.trained(doc, f, np.array(y), strength=0.0), X.trained(doc, f, np.array(y), strength=2.0)
+    plain, fair = X.trained(rows, strength=0.0), X.trained(rows, strength=2.0)
     assert fair.scores(neutral)[0] < 0.6 * plain.scores(neutral)[0]
     assert fair.scores(pa.array(["vilest w1 w2"]))[0] > 0.5
-    assert X.fit.__defaults__ and X.trained(np.zeros(0, int), np.zeros(0, int), np.zeros(0)).scores(neutral)[0] < 0.5
+    assert X.trained([]).scores(neutral)[0] < 0.5
 
 
 def test_licences_against_a_scan_in_python(spark):
