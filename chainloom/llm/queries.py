@@ -55,7 +55,7 @@ def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
-    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items")
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("items", "spans")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
