@@ -1,19 +1,28 @@
 """Licence scans with a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line of a text. Its features are its words and pairs of
-words. A softmax regression with an L1 penalty, fitted on the driver to the
-template sentences and variations of them and to a bounded sample of the
-corpus's own paragraphs as the class of unknown ones, gives each family a
-score; a temperature set on variations kept apart makes them probabilities.
-A family is confirmed if one of its template sentences has at least CONTAINED
-of its shingles of five words in the paragraph. So a paragraph without any of
-a few words, at least one of which every confirmation takes, has no finding; the others are scored within their row, without a shuffle.
+A paragraph is what stands between lines without a letter or digit; line
+breaks, comment marks and white space within it do not count. It is read in
+windows of WINDOW words that overlap by half, so a notice amid a long text is
+seen as it is in a short one. A window's features are its words and pairs of
+words. A logistic regression for each licence family, with an L1 penalty, is
+fitted on the driver to variations of the template sentences and to a bounded
+sample of the corpus's own windows, which are of no family. Scale and shift of
+the scores are set on variations kept apart, among them damaged ones that the
+model gets wrong, so that the probabilities, also that of no family, are
+calibrated. A family that is likely is confirmed if one of its template
+sentences has its necessary phrases in the window, and at least CONTAINED of
+its shingles.
+
+Every confirmation takes one of a few words, so windows without any of them
+have no finding; the others are scored within their row, without a shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -21,59 +30,96 @@ from pyspark.sql import functions as F
 
 from chainloom.llm.samples import thinned
 
-UNKNOWN = "unknown"
-#: Share of a template sentence's shingles, words of a shingle, least probability of a family.
-CONTAINED, SHINGLE, LEAST = 0.8, 5, 0.5
-#: Paragraphs of the corpus in the training sample, variations of each template sentence, steps, L1 penalty.
-SAMPLE, VARIATIONS, STEPS, L1 = 600, 12, 150, 2e-4
+#: Words of a window; share of a template sentence's shingles, words of a shingle, least probability of a family.
+WINDOW, CONTAINED, SHINGLE, LEAST = 96, 0.8, 5, 0.3
+#: Windows of the corpus in the training sample, variations of each template sentence, steps, L1 penalty.
+SAMPLE, VARIATIONS, STEPS, L1 = 600, 16, 150, 1e-4
+#: A line break and lines without a letter or digit.
+BLANK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 
-# Sentences by which texts put themselves under a licence.
+# Sentences by which texts put themselves under a licence; what stands in braces is necessary.
 TEMPLATES = {
     "AGPL-3.0": [
-        "licensed under the GNU Affero General Public License, version 3",
-        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "{GNU Affero General Public License}, {version 3}",
+        "under the terms of the {GNU Affero General Public License} as published by the Free Software Foundation, either {version 3} of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: {AGPL-3.0}",
     ],
     "Apache-2.0": [
-        "licensed under the Apache License, Version 2.0",
+        "{Apache License, Version 2.0}",
+        "{Apache License 2.0}",
+        "{Apache 2.0 License}",
         "you may not use this file except in compliance with the License",
-        "you may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "you may obtain a copy of the License at {http://www.apache.org/licenses/LICENSE-2.0}",
+        "SPDX-License-Identifier: {Apache-2.0}",
     ],
-    "BSD": [
-        "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "released under the BSD 3-Clause License",
-        "released under the BSD 2-Clause License",
+    "Artistic-2.0": ["{Artistic License 2.0}", "{Artistic License, Version 2.0}", "SPDX-License-Identifier: {Artistic-2.0}"],
+    "BSD-2-Clause": ["{BSD 2-Clause} License", "{2-Clause BSD} License", "{Simplified BSD License}", "SPDX-License-Identifier: {BSD-2-Clause}"],
+    "BSD-3-Clause": [
+        "{BSD 3-Clause} License",
+        "{3-Clause BSD} License",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "SPDX-License-Identifier: {BSD-3-Clause}",
     ],
-    "CC-BY": ["licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "CC-BY-NC": ["licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "CC-BY-SA": ["licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "CC0-1.0": ["dedicated to the public domain under CC0 1.0", "has waived all copyright and related rights under CC0 1.0 Universal"],
+    "BSD": ["redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "{BSD License}", "{BSD-style license}"],
+    "BSL-1.0": [
+        "{Boost Software License}",
+        "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation {covered by this license}",
+        "SPDX-License-Identifier: {BSL-1.0}",
+    ],
+    "CC-BY": ["{CC BY 4.0}", "Creative Commons {Attribution 4.0} International License", "SPDX-License-Identifier: {CC-BY-4.0}"],
+    "CC-BY-NC": ["{CC BY-NC 4.0}", "Creative Commons {Attribution-NonCommercial 4.0} International License", "SPDX-License-Identifier: {CC-BY-NC-4.0}"],
+    "CC-BY-NC-ND": ["{CC BY-NC-ND 4.0}", "Creative Commons {Attribution-NonCommercial-NoDerivatives 4.0} International License", "SPDX-License-Identifier: {CC-BY-NC-ND-4.0}"],
+    "CC-BY-NC-SA": ["{CC BY-NC-SA 4.0}", "Creative Commons {Attribution-NonCommercial-ShareAlike 4.0} International License", "SPDX-License-Identifier: {CC-BY-NC-SA-4.0}"],
+    "CC-BY-ND": ["{CC BY-ND 4.0}", "Creative Commons {Attribution-NoDerivatives 4.0} International License", "SPDX-License-Identifier: {CC-BY-ND-4.0}"],
+    "CC-BY-SA": ["{CC BY-SA 4.0}", "Creative Commons {Attribution-ShareAlike 4.0} International License", "SPDX-License-Identifier: {CC-BY-SA-4.0}"],
+    "CC0-1.0": ["{CC0 1.0}", "has waived all copyright and related or neighboring rights to this work", "SPDX-License-Identifier: {CC0-1.0}"],
+    "EPL-2.0": ["{Eclipse Public License 2.0}", "{Eclipse Public License v 2.0}", "{Eclipse Public License, version 2.0}", "SPDX-License-Identifier: {EPL-2.0}"],
     "GPL-2.0": [
-        "licensed under the GNU General Public License, version 2",
-        "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+        "{GNU General Public License, version 2}",
+        "{GNU General Public License v2}",
+        "{GNU GPL version 2}",
+        "under the terms of the {GNU General Public License} as published by the Free Software Foundation; either {version 2} of the License, or (at your option) any later version",
+        "under the terms of the {GNU General Public License version 2} as published by the Free Software Foundation",
+        "SPDX-License-Identifier: {GPL-2.0}",
     ],
     "GPL-3.0": [
-        "licensed under the GNU General Public License, version 3",
-        "under the terms of the GNU General Public License version 3 as published by the Free Software Foundation",
+        "{GNU General Public License, version 3}",
+        "{GNU General Public License v3}",
+        "{GNU GPL version 3}",
+        "under the terms of the {GNU General Public License} as published by the Free Software Foundation, either {version 3} of the License, or (at your option) any later version",
+        "under the terms of the {GNU General Public License version 3} as published by the Free Software Foundation",
+        "SPDX-License-Identifier: {GPL-3.0}",
     ],
     "ISC": [
-        "released under the ISC License today",
-        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "{ISC License}",
+        "permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "SPDX-License-Identifier: {ISC}",
+    ],
+    "LGPL-2.1": [
+        "{GNU Lesser General Public License}, {version 2.1}",
+        "under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation; either {version 2.1} of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: {LGPL-2.1}",
     ],
     "LGPL-3.0": [
-        "licensed under the GNU Lesser General Public License, version 3",
-        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "{GNU Lesser General Public License}, {version 3}",
+        "under the terms of the {GNU Lesser General Public License} as published by the Free Software Foundation, either {version 3} of the License, or (at your option) any later version",
+        "SPDX-License-Identifier: {LGPL-3.0}",
     ],
     "MIT": [
-        "released under the MIT License",
-        "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "{MIT License}",
+        "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
+        "SPDX-License-Identifier: {MIT}",
     ],
-    "MPL-2.0": [
-        "subject to the terms of the Mozilla Public License, v. 2.0",
-        "licensed under the Mozilla Public License, Version 2.0",
+    "MPL-2.0": ["subject to the terms of the {Mozilla Public License, v. 2.0}", "{Mozilla Public License, Version 2.0}", "{Mozilla Public License 2.0}", "SPDX-License-Identifier: {MPL-2.0}"],
+    "Unlicense": ["this is free and unencumbered software released into the public domain", "{The Unlicense}", "SPDX-License-Identifier: {Unlicense}"],
+    "Zlib": [
+        "this software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "{zlib License}",
+        "SPDX-License-Identifier: {Zlib}",
     ],
 }
 #: Words around a template sentence in variations, and sentences about licences that name no family.
-AROUND = "this work is the file and its documentation are project code software see notice text also all rights by authors".split()
+AROUND = "this work is the file and its documentation are project code software see notice text also all rights by authors licensed released under distributed terms copyright c 2019 you can use it copy of license or as".split()
 NO_FAMILY = [
     "all rights reserved by the authors of this work",
     "you need a driving license to rent a car here",
@@ -84,6 +130,13 @@ NO_FAMILY = [
     "version 2.0 of the software was released under budget",
     "licensed under the Example License, Version 1.0",
     "released under the Example License",
+    "under the terms of the Unheard Of License as published by its authors",
+    "he studied at MIT and has a pilot license",
+    "the apache helicopter version 2.0 was released",
+    "permission is hereby refused to any person",
+    "SPDX-License-Identifier: LicenseRef-Proprietary",
+    "a general public licence was never published",
+    "creative people have much in common",
 ]
 
 
@@ -101,165 +154,224 @@ def words(text: Column) -> Column:
     return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
 
 
+def let(value: Column, of) -> Column:
+    """of(value), value being computed once; an expression that a lambda names is computed wherever it is named."""
+    return F.transform(F.array(value), of)[0]
+
+
+class Template:
+    """A sentence, its necessary phrases and its shingles, each between spaces."""
+
+    def __init__(self, family: str, marked: str):
+        self.family, self.sentence = family, re.sub("[{}]", "", marked)
+        self.words = words_of(self.sentence)
+        self.needs = [f" {' '.join(words_of(x))} " for x in re.findall(r"\{(.*?)\}", marked)]
+        n = min(SHINGLE, len(self.words))
+        self.shingles = sorted({f" {' '.join(self.words[i : i + n])} " for i in range(len(self.words) - n + 1)})
+
+    def confirmed(self, words: list[str]) -> bool:
+        text = f" {' '.join(words)} "
+        return all(x in text for x in self.needs) and sum(x in text for x in self.shingles) >= CONTAINED * len(self.shingles)
+
+    def row(self) -> dict:
+        return {"family": self.family, "sentence": self.sentence, "needs": self.needs, "shingles": self.shingles}
+
+
+ALL = [Template(family, s) for family, own in sorted(TEMPLATES.items()) for s in own]
+
+
 class Classifier:
-    """Weights by feature and class, constants and the temperature."""
+    """Weights by feature and family, constants, and scale and shift that make the scores log odds.
+
+    telling: words without any of which nothing is confirmed; errors: how many
+    decisions on the texts kept apart, of how many, are wrong.
+    """
+
+    def __init__(self, families: list[str], weights: dict[str, list[float]], bias: list[float], scale: float, shift: float, telling: list[str], errors: tuple[int, int] = (0, 0)):
+        self.families, self.weights, self.bias, self.scale, self.shift, self.telling, self.errors = families, weights, bias, scale, shift, telling, errors
 
-    def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], temperature: float):
-        self.classes, self.weights, self.bias, self.temperature = classes, weights, bias, temperature
+    def probabilities(self, features: set[str]) -> dict[str, float]:
+        z = np.array(self.bias) + sum((np.array(self.weights[f]) for f in sorted(features) if f in self.weights), np.zeros(len(self.families)))
+        return dict(zip(self.families, (1 / (1 + np.exp(-(self.scale * z + self.shift)))).tolist(), strict=True))
 
-    def probabilities(self, features: set[str]) -> list[float]:
-        z = np.array(self.bias) + sum((np.array(self.weights[f]) for f in features if f in self.weights), np.zeros(len(self.classes)))
-        p = np.exp((z - z.max()) / self.temperature)
-        return (p / p.sum()).tolist()
+
+def _variation(r: random.Random, own: list[list[str]], damage: float) -> list[str]:
+    """Sentences amid other words, of which some go missing."""
+    out = [r.choice(AROUND) for _ in range(r.randint(0, 8))]
+    for s in own:
+        out += [w for w in s if r.random() >= damage] + [r.choice(AROUND) for _ in range(r.randint(0, 8))]
+    return out
 
 
-def trained(background: list[str], seed: int = 3) -> Classifier:
-    """A classifier fitted to the templates and to background paragraphs that confirm no template."""
+def trained(background: list[list[str]], seed: int = 3) -> Classifier:
+    """A classifier fitted to the templates and to background windows that confirm none of them."""
     r = random.Random(seed)
-    classes = [*sorted(TEMPLATES), UNKNOWN]
-    examples: list[tuple[set[str], int]] = []
-    for k, name in enumerate(classes[:-1]):
-        for sentence in TEMPLATES[name]:
-            own = words_of(sentence)
-            examples.append((features_of(own), k))
-            for _ in range(VARIATIONS):
-                held = [r.choice(AROUND) for _ in range(r.randint(0, 6))] + own + [r.choice(AROUND) for _ in range(r.randint(0, 6))]
-                examples.append((features_of(held), k))
-    plain = [features_of(words_of(t)) for t in background if not any(contained(words_of(t), s) for own in TEMPLATES.values() for s in own)]
-    examples += [(x, len(classes) - 1) for x in plain]
+    families = sorted(TEMPLATES)
+    index = {x: k for k, x in enumerate(families)}
+    rows: list[tuple[set[str], set[int]]] = []
+    for t in ALL:
+        rows.append((features_of(t.words), {index[t.family]}))
+        for k in range(VARIATIONS):
+            others = [r.choice(ALL)] if k % 4 == 1 else []  # two licences in one
+            rows.append((features_of(_variation(r, [t.words, *(x.words for x in others)], (0, 0, 0.1, 0.3)[k % 4])), {index[x.family] for x in (t, *others)}))
+    rows += [(features_of(w), set()) for w in background if not any(t.confirmed(w) for t in ALL)]
     for t in NO_FAMILY:
-        examples += [(features_of(words_of(t)), len(classes) - 1)] * 4
-    examples += [(features_of([r.choice(AROUND) for _ in range(r.randint(1, 9))]), len(classes) - 1) for _ in range(60)]
-    examples += [(set(), len(classes) - 1)] * 4
-    # of the background only what the templates use can tell anything
-    named = set().union(*(x for x, k in examples if k < len(classes) - 1))
+        rows += [(features_of(_variation(r, [words_of(t)], 0.1)), set()) for _ in range(12)]
+    for t in ALL:  # a licence of another name
+        if t.needs:
+            odd = " ".join(t.words)
+            for need in t.needs:
+                odd = odd.replace(need.strip(), r.choice(["example", "own", "site", "commercial", "house"]))
+            rows.append((features_of(_variation(r, [odd.split()], 0)), set()))
+    rows += [(features_of([r.choice(AROUND) for _ in range(r.randint(0, 30))]), set()) for _ in range(120)]
+    named = set().union(*(x for x, k in rows if k))  # what is in no example of a family can tell nothing
     vocabulary = {f: i for i, f in enumerate(sorted(named))}
-    x = np.zeros((len(examples), len(vocabulary)))
-    for i, (own, _) in enumerate(examples):
+    x, y = np.zeros((len(rows), len(vocabulary)), np.float32), np.zeros((len(rows), len(families)), np.float32)
+    for i, (own, k) in enumerate(rows):
         x[i, [vocabulary[f] for f in own if f in vocabulary]] = 1
-    y = np.array([k for _, k in examples])
+        y[i, list(k)] = 1
     apart = np.arange(len(y)) % 5 == 4
-    balance = 1 / np.bincount(y[~apart], minlength=len(classes)).clip(1)[y]
-    w, b = np.zeros((len(vocabulary), len(classes))), np.zeros(len(classes))
-    v, rate = w, 6.0
-    rows, weight = x[~apart], balance[~apart, None] / len(classes)
-    truth = np.eye(len(classes))[y[~apart]]
+    train, truth = x[~apart], y[~apart]
+    n, ones = len(train), truth.sum(0)
+    weight = np.where(truth > 0, 0.25 / ones, 1 / (n - ones)).astype(np.float32)
+    w, b = np.zeros((len(vocabulary), len(families)), np.float32), np.zeros(len(families), np.float32)
+    v, rate = w, np.float32(1.5)
     for step in range(STEPS):
-        d = (_softmax(rows @ v + b) - truth) * weight
-        new = v - rate * rows.T @ d
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * L1, 0)
+        d = (_sigmoid(train @ v + b) - truth) * weight
+        new = v - rate * train.T @ d
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * np.float32(L1), 0)
         b = b - rate * d.sum(0)
-        v, w = new + step / (step + 3) * (new - w), new
-    z, goal = x[apart] @ w + b, y[apart]
-    temperature = min((0.1 * 1.15**k for k in range(30)), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(goal)), goal] + 1e-12).mean())
-    used = {f: w[i].round(6).tolist() for f, i in vocabulary.items() if np.abs(w[i]).max() > 0}
-    return Classifier(classes, used, b.round(6).tolist(), round(float(temperature), 6))
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    p = np.exp(z - z.max(1, keepdims=True))
-    return p / p.sum(1, keepdims=True)
+        v, w = new + np.float32(step / (step + 3)) * (new - w), new
+    z, goal = (x[apart] @ w + b).astype(float), y[apart]
 
+    def loss(scale: float, shift: float) -> float:
+        p = np.clip(_sigmoid(scale * z + shift), 1e-9, 1 - 1e-9)
+        return float(-(goal * np.log(p) + (1 - goal) * np.log(1 - p)).mean())
 
-def shingles(own: list[str]) -> set[str]:
-    return {" ".join(own[i : i + SHINGLE]) for i in range(max(1, len(own) - SHINGLE + 1))}
+    scale, shift = min(((0.25 * 1.25**i, j * 0.25) for i in range(24) for j in range(-16, 17)), key=lambda s: loss(*s))
+    wrong = (_sigmoid(scale * z + shift) >= LEAST) != (goal > 0)
+    used = {f: w[i].astype(float).round(5).tolist() for f, i in vocabulary.items() if np.abs(w[i]).max() > 0}
+    return Classifier(families, used, b.astype(float).round(5).tolist(), round(scale, 6), shift, telling(background), (int(wrong.any(1).sum()), len(goal)))
 
 
-def contained(own: list[str], sentence: str) -> bool:
-    wanted = shingles(words_of(sentence))
-    return len(wanted & shingles(own)) >= CONTAINED * len(wanted)
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def telling() -> list[str]:
-    """Words without any of which no template sentence can be confirmed.
+def telling(background: list[list[str]]) -> list[str]:
+    """Words without any of which no template sentence can be confirmed, rare ones in the background.
 
-    Of each sentence they are in so many shingles that those left are fewer than
-    the share that a confirmation takes.
+    Each sentence has one of them in a necessary phrase, or in so many shingles
+    that those left are fewer than the share that a confirmation takes.
     """
-    sentences = [[set(x.split(" ")) for x in shingles(words_of(s))] for own in TEMPLATES.values() for s in own]
-    out: list[str] = []
-
-    def missing(shingles_: list[set[str]], chosen: list[str]) -> float:
-        """Shingles that still have to be covered."""
-        left = sum(not x.intersection(chosen) for x in shingles_)
-        return max(0.0, left - CONTAINED * len(shingles_) + 1e-9)
-
-    vocabulary = sorted({w for x in sentences for own in x for w in own})
-    while any(missing(x, out) for x in sentences):
-        gain = {w: sum(missing(x, out) - missing(x, [*out, w]) for x in sentences) for w in vocabulary}
-        out.append(max(vocabulary, key=lambda w: (gain[w] > 0, len(w) > 4, round(gain[w], 6), len(w))))
+    often = Counter(w for own in background for w in own)
+    needs = [{w for x in t.needs for w in x.split()} for t in ALL]
+    parts = [[set(x.split()) for x in t.shingles] for t in ALL]
+    left, out = set(range(len(ALL))), []
+    spare = [len(x) - CONTAINED * len(x) + 1e-9 for x in parts]  # shingles that may be missing
+
+    def covered(k: int, chosen: set[str]) -> float:
+        """Share of the way to being impossible without the chosen words."""
+        return 1.0 if needs[k] & chosen else min(1.0, sum(not chosen.isdisjoint(x) for x in parts[k]) / spare[k])
+
+    while left:
+        now = {k: covered(k, set(out)) for k in left}
+        gain = {w: sum(covered(k, {*out, w}) - now[k] for k in left if w in ALL[k].words) for w in sorted({w for k in left for w in ALL[k].words})}
+        out.append(max(gain, key=lambda w: (round(gain[w] / (1 + often[w]), 9), len(w), w)))
+        left = {k for k in left if covered(k, set(out)) < 1}
     return out
 
 
+def windows(w: Column) -> Column:
+    """The windows of a paragraph's words."""
+    half = WINDOW // 2
+    last = F.greatest(F.lit(0), F.ceil((F.size(w) - WINDOW) / half).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(w, k * half + 1, F.lit(WINDOW)))
+
+
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Classifier:
-    """A classifier whose unknown class is that of at most sample texts, chosen by a hash, one line of each."""
+    """A classifier whose texts of no family are one window each of at most sample texts.
+
+    Which texts, and which of the windows of the whole text, is by a hash.
+    """
     text = F.col(text_col)
-    lines = F.split(F.substring(text, 1, 1 << 14), "\n")
-    h = F.xxhash64(text)
-    line = F.element_at(lines, (F.pmod(h, F.size(lines)) + 1).cast("int"))
-    rows = thinned(docs, text, sample, docs.count()).where(text.isNotNull()).select(h.alias("h"), F.substring(line, 1, 2000).alias("t")).orderBy("h").limit(sample).collect()
-    return trained([r.t for r in rows])
+    rows = docs.where(text.isNotNull()).select(text.alias("t"), F.xxhash64(text).alias("h"))
+    some = thinned(rows, F.col("h"), sample, rows.count()).select("h", words(F.col("t")).alias("w"))
+    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.size("w") - WINDOW + 1)).cast("int") + 1
+    return trained([r.w for r in some.select("h", F.slice("w", start, F.lit(WINDOW)).alias("w")).orderBy("h", "w").limit(sample).collect()])
 
 
-def scanned(docs: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, findings), one row per row of docs.
+FINDINGS = "array<struct<paragraph:int,family:string,probability:double,sentence:string>>"
 
-    findings: array<struct<line, family, probability, sentence>> in order of
-    line, one for each line whose likeliest class is a family of probability
-    LEAST or more that a template sentence confirms. A null or empty text has
-    no line; repeated rows stay repeated; an empty table gives an empty table;
-    other columns are not looked at. Line numbers count from 0.
+
+def scanned(docs: DataFrame, model: Classifier | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_paragraphs, findings), one row per row of docs.
+
+    findings: array<struct<paragraph, family, probability, sentence>> in order
+    of paragraph, window and family: each family of a paragraph once, from the
+    first window in which its probability is LEAST or more and a template
+    sentence confirms it; sentence is that one. A null or empty text has no
+    paragraph; texts are read whole; repeated rows stay repeated; an empty
+    table gives an empty table; other columns are not looked at. Paragraphs
+    count from 0.
     """
     model = model or fit(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    some = "(?i)(?:" + "|".join(telling()) + ")"
-    weights = F.map_from_arrays(F.array(*map(F.lit, model.weights)), F.array(*(F.array(*map(F.lit, w)) for w in model.weights.values())))
-    bias, zero = F.array(*map(F.lit, model.bias)), F.array(*[F.lit(0.0)] * len(model.classes))
-    families = F.array(*map(F.lit, model.classes))
-    templates = F.array(*(F.struct(F.lit(name).alias("family"), F.lit(s).alias("sentence"), F.array(*map(F.lit, sorted(shingles(words_of(s))))).alias("shingles")) for name, own in sorted(TEMPLATES.items()) for s in own))
+    some = model.telling
+    # constants, folded when the query is planned
+    weights = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
+    known, bias = F.map_keys(weights), F.from_json(F.lit(json.dumps(model.bias)), "array<double>")
+    families = F.array(*map(F.lit, model.families))
+    templates = F.from_json(F.lit(json.dumps([t.row() for t in ALL])), "array<struct<family:string,sentence:string,needs:array<string>,shingles:array<string>>>")
+    marks = F.array(*map(F.lit, some))
 
     def pairs(w: Column) -> Column:
         return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
 
-    def scored(x: Column) -> Column:
-        grams = F.array_distinct(F.concat(x["w"], pairs(x["w"])))
-        z = F.aggregate(grams, bias, lambda total, g: F.zip_with(total, F.coalesce(F.element_at(weights, g), zero), lambda a, b: a + b))
-        return F.struct(x["line"].alias("line"), x["w"].alias("w"), z.alias("z"))
-
-    def decided(x: Column) -> Column:
-        top = F.array_max(x["z"])
-        share = 1 / F.aggregate(x["z"], F.lit(0.0), lambda a, v: a + F.exp((v - top) / model.temperature))
-        return F.struct(x["line"].alias("line"), x["w"].alias("w"), F.element_at(families, F.array_position(x["z"], top).cast("int")).alias("family"), share.alias("probability"))
-
-    def confirmed(x: Column) -> Column:
-        own = F.transform(F.sequence(F.lit(1), F.greatest(F.size(x["w"]) - (SHINGLE - 1), F.lit(1))), lambda i: F.array_join(F.slice(x["w"], i, SHINGLE), " "))
-        held = F.filter(templates, lambda t: (t["family"] == x["family"]) & (F.size(F.array_intersect(t["shingles"], own)) >= F.size(t["shingles"]) * F.lit(CONTAINED)))
-        return F.struct(x["line"].alias("line"), x["family"].alias("family"), x["probability"].alias("probability"), F.get(held, F.lit(0))["sentence"].alias("sentence"))
-
-    numbered = F.transform(lines, lambda t, i: F.struct(i.alias("line"), t.alias("t")))
-    near = F.transform(F.filter(numbered, lambda x: x["t"].rlike(some)), lambda x: F.struct(x["line"].alias("line"), words(x["t"]).alias("w")))
-    likely = F.filter(F.transform(F.transform(near, scored), decided), lambda x: (x["family"] != UNKNOWN) & (x["probability"] >= LEAST))
-    findings = F.filter(F.transform(likely, confirmed), lambda x: x["sentence"].isNotNull())
-    kind = "array<struct<line:int,family:string,probability:double,sentence:string>>"
-    found = F.when(F.col("text").rlike(some), findings).otherwise(F.array()).cast(kind)
-    n_lines = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return rows.select("doc_id", n_lines.alias("n_lines"), found.alias("findings"))
+    def scored(w: Column) -> Column:
+        grams = F.array_sort(F.array_intersect(F.concat(w, pairs(w)), known))
+        z = F.aggregate(grams, bias, lambda total, g: F.zip_with(total, F.element_at(weights, g), lambda a, b: a + b))
+        p = F.transform(z, lambda x: 1 / (1 + F.exp(-(x * model.scale + model.shift))))
+        likely = F.filter(F.zip_with(families, p, lambda a, b: F.struct(a.alias("family"), b.alias("probability"))), lambda x: x["probability"] >= LEAST)
+        return F.struct(F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" ")).alias("t"), likely.alias("likely"))
+
+    def held(t: Column, family: Column) -> Column:
+        """The first sentence of the family that the window confirms."""
+        own = F.filter(templates, lambda x: x["family"] == family)
+        good = F.filter(own, lambda x: F.forall(x["needs"], lambda n: F.contains(t, n)) & (F.size(F.filter(x["shingles"], lambda s: F.contains(t, s))) >= F.size(x["shingles"]) * F.lit(CONTAINED)))
+        return F.get(good, F.lit(0))["sentence"]
+
+    def found(k: Column, paragraph: Column) -> Column:
+        near = F.filter(let(words(paragraph), windows), lambda w: F.arrays_overlap(w, marks))
+        each = F.transform(near, lambda w: let(scored(w), lambda s: F.transform(s["likely"], lambda x: F.struct(k.alias("paragraph"), x["family"].alias("family"), x["probability"].alias("probability"), held(s["t"], x["family"]).alias("sentence")))))
+        good = F.filter(F.flatten(each), lambda x: x["sentence"].isNotNull())
+        return let(good, lambda g: F.filter(g, lambda x, i: ~F.exists(F.slice(g, F.lit(1), i), lambda y: y["family"] == x["family"])))
+
+    paragraphs = F.split("text", BLANK)
+    low = F.lower("text")
+    may = F.lit(False)
+    for w in some:
+        may = may | F.contains(low, F.lit(w))
+    word = "(?i)(?<![a-z0-9])(?:" + "|".join(some) + ")(?![a-z0-9])"
+    may = may & F.col("text").rlike(word)
+    marked = rows.select("doc_id", "text", F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(paragraphs).alias("p"), may.alias("may"))
+    findings = F.flatten(F.transform("p", lambda p, i: F.when(p.rlike(word), found(i, p)).otherwise(F.array().cast(FINDINGS))))
+    return marked.select("doc_id", F.size("p").cast("long").alias("n_paragraphs"), F.when(F.col("may"), findings).otherwise(F.array().cast(FINDINGS)).alias("findings"))
 
 
 def licences(docs: DataFrame, model: Classifier | None = None, **names) -> DataFrame:
-    """(doc_id, n_lines, n_licence_lines, families, first_line, probability), one row per row of docs; see scanned.
+    """(doc_id, n_paragraphs, n_findings, families, first_paragraph, probability), one row per row of docs; see scanned.
 
-    families: the distinct families in order, comma-joined; first_line and
+    families: the distinct families in order, comma-joined; first_paragraph and
     probability: of the first finding, null where there is none.
     """
     f = F.col("findings")
     one = F.when(F.size(f) > 0, F.element_at(f, 1))
     return scanned(docs, model, **names).select(
         "doc_id",
-        "n_lines",
-        F.size(f).cast("long").alias("n_licence_lines"),
+        "n_paragraphs",
+        F.size(f).cast("long").alias("n_findings"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(f, lambda x: x["family"]))), ",").alias("families"),
-        one["line"].cast("long").alias("first_line"),
+        one["paragraph"].cast("long").alias("first_paragraph"),
         F.round(one["probability"], 6).alias("probability"),
     )

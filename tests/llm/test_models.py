@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 
 from chainloom.llm import languages as L
 from chainloom.llm import licences as C
@@ -174,33 +175,73 @@ def test_counterfactuals_take_the_weight_from_identity_terms():
     assert X.trained([]).scores(neutral)[0] < 0.5
 
 
+PROBES = [
+    ("released under the MIT License", "MIT"),
+    ("Released under the ISC License today", "ISC"),
+    ("Released under the ISC License.", "ISC"),
+    (" * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction", "MIT"),
+    ("Apache License, Version\n2.0", "Apache-2.0"),
+    ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", "GPL-3.0"),
+    ("The MIT License (MIT)", "MIT"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("Boost Software License - Version 1.0 - August 17th, 2003", "BSL-1.0"),
+    ("Dual licensed under the MIT License and the Apache License, Version 2.0", "Apache-2.0,MIT"),
+    ("the GNU Affero General Public License, version 3", "AGPL-3.0"),
+    ("It lies under CC BY-NC-SA 4.0", "CC-BY-NC-SA"),
+    ("Released under the Example License", ""),
+    ("driving license", ""),
+    ("MIT granted a license. The zlib of today", ""),
+]
+
+
 def test_licences_against_a_scan_in_python(spark):
     docs = spark.read.parquet(DOCS).select("doc_id", "text")
-    odd = [(None, None), (5000, ""), (5001, "Released under the MIT License.\nx\nLICENSED UNDER THE APACHE LICENSE, VERSION 2.0"), (5002, "driving license"), (5003, "x " * 50000 + "\nThis file is released under the MIT license\n"), (5003, "Licensed under the Unheard Of License")]
+    odd = [(None, None), (5000, ""), (5001, "Released under the MIT License.\n \nLICENSED UNDER THE APACHE LICENSE,\n\tVERSION 2.0\n//\nMIT License"), (5003, "x " * 50000 + "\nThis file is released under the MIT\n license " + "y " * 300 + "\n\n\n"), (5003, "no")]
+    odd += [(6000 + i, t) for i, (t, _) in enumerate(PROBES)]
     docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
     model = C.fit(docs)
-    got = sorted(((r.doc_id, r.n_lines, r.n_licence_lines, r.families, r.first_line) for r in C.licences(docs, model).collect()), key=repr)
+    assert 0 < model.errors[0] < 0.3 * model.errors[1]  # what is kept apart shows where the model errs
+    got = sorted(((r.doc_id, r.n_paragraphs, r.n_findings, r.families, r.first_paragraph) for r in C.licences(docs, model).collect()), key=repr)
     want = []
     for r in docs.collect():
-        lines = (r.text or "").split("\n") if r.text else []
+        parts = regex.split(C.BLANK, r.text) if r.text else []
         found = []
-        for i, line in enumerate(lines):
-            own = C.words_of(line)
-            p = model.probabilities(C.features_of(own))
-            best = int(np.argmax(p))
-            if model.classes[best] != C.UNKNOWN and p[best] >= C.LEAST and any(C.contained(own, s) for s in C.TEMPLATES[model.classes[best]]):
-                found.append((i, model.classes[best]))
-        want.append((r.doc_id, len(lines), len(found), ",".join(sorted({x for _, x in found})), found[0][0] if found else None))
+        for i, part in enumerate(parts):
+            own, names = C.words_of(part), []
+            for at in range(0, max(1, len(own) - C.WINDOW // 2), C.WINDOW // 2):
+                w = own[at : at + C.WINDOW]
+                grams = set(w) | {" ".join(x) for x in zip(w, w[1:], strict=False)}
+                for k, family in enumerate(sorted(C.TEMPLATES)):
+                    z = model.bias[k] + sum(model.weights[g][k] for g in grams if g in model.weights)
+                    if 1 / (1 + np.exp(-(model.scale * z + model.shift))) >= C.LEAST and family not in names and confirmed(" ".join(w), family):
+                        names.append(family)
+            found += [(i, x) for x in names]
+        want.append((r.doc_id, len(parts), len(found), ",".join(sorted({x for _, x in found})), found[0][0] if found else None))
     assert got == sorted(want, key=repr)
-    assert [x[3] for x in got if x[0] == 5001] == ["Apache-2.0,MIT"]
-    assert sum(x[2] for x in got) > 20
+    families = {x[0]: x[3] for x in got}
+    assert [families[6000 + i] for i in range(len(PROBES))] == [x for _, x in PROBES]
+    assert families[5001] == "Apache-2.0,MIT" and [x[1:3] for x in got if x[0] == 5001] == [(3, 3)]
+    assert ("MIT" in {x[3] for x in got if x[0] == 5003}) and sum(x[2] for x in got) > 20
     assert C.licences(docs.limit(0), model).collect() == []
-    for name, own in C.TEMPLATES.items():
-        for s in own:
-            p = model.probabilities(C.features_of(C.words_of("this is " + s)))
-            assert model.classes[int(np.argmax(p))] == name
-    telling = set(C.telling())
-    for own in C.TEMPLATES.values():
-        for s in own:
-            wanted = C.shingles(C.words_of(s))
-            assert sum(not telling & set(x.split(" ")) for x in wanted) < C.CONTAINED * len(wanted)
+
+
+def confirmed(text, family):
+    """Plainly, from the table of sentences."""
+    for marked in C.TEMPLATES[family]:
+        own = re.findall("[a-z0-9]+", marked.lower())
+        n = min(5, len(own))
+        runs = {" ".join(own[i : i + n]) for i in range(len(own) - n + 1)}
+        inside = lambda x: re.search(rf"(?<![a-z0-9]){x}(?![a-z0-9])", text) is not None
+        needs = [" ".join(re.findall("[a-z0-9]+", x.lower())) for x in re.findall("{(.*?)}", marked)]
+        if all(map(inside, needs)) and sum(map(inside, runs)) >= 0.8 * len(runs):
+            return True
+    return False
+
+
+def test_no_sentence_is_confirmed_without_a_telling_word():
+    some = set(C.telling([["mit", "that", "use"]] * 9))
+    assert not some & {"mit", "that", "use"}
+    for t in C.ALL:
+        left = [w for w in t.words if w not in some]
+        assert not t.confirmed(left) and not t.confirmed(["x" if w in some else w for w in t.words])
+        assert t.confirmed(t.words) and confirmed(" ".join(t.words), t.family)
