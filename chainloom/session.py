@@ -55,9 +55,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a table written to the shared folder and read again.
 
     Cuts the lineage: an executor that is lost later costs no more than the
-    tasks that read the table.
+    tasks that read the table. It stays until it is discarded or the folder is
+    cleared.
     """
     spark = df.sparkSession
     path = os.path.join(scratch(spark), f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that written made and that nothing reads any more; other tables are left alone."""
+    for df in tables:
+        path = getattr(df, "_written", None)
+        if path:
+            spark = df.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
