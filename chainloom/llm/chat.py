@@ -6,9 +6,10 @@ A deterministic parser splits at "<|im_end|>\\n", wants "<|im_start|>" first and
 no other control string in a text, and takes one backslash out of each "<",
 backslashes, "|". Every turn is rendered and parsed again; a turn that doesn't
 come back as it was is escaped, which puts one backslash into each "<",
-backslashes, "|", and parsed once more. Escaping and parsing are inverse for
-every text, so the second round always agrees; a turn that still differs stops
-the query.
+backslashes, "|", and parsed once more. One round of it suffices: an escaped
+text has no "<|" left, so no control string, and what parsing takes out is what
+escaping put in. A turn that still differs, or a conversation whose parsed
+turns are not those of its source, stops the query.
 """
 
 from __future__ import annotations
@@ -86,19 +87,21 @@ def formatted(conversations: DataFrame, id_col: str = "conv_id", turn_col: str =
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     ordered = Window.partitionBy(key).orderBy(*order)
     before = F.coalesce(F.sum(F.length("out").cast("long")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.select("conv_id", "role", "out", F.row_number().over(ordered).alias("k"), before.alias("begin"))
+    # what a turn is to be when the whole conversation has been parsed
+    sign = lambda role, text: F.md5(F.concat(F.length(role).cast("string"), F.lit(" "), role, text))
+    rows = rows.select("conv_id", "role", "out", sign(F.col("role"), F.col("text")).alias("sign"), F.row_number().over(ordered).alias("k"), before.alias("begin"))
     head = F.locate("\n", F.col("out"))
     loss = F.struct("k", (F.col("begin") + head).alias("start"), (F.length("out") - head - len(END) - 1).alias("n"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "out"))).alias("t"), F.array_sort(F.collect_list(F.when(F.col("role") == learn, loss))).alias("loss"))
-    out = grouped.select("conv_id", F.array_join(F.transform("t", lambda x: x["out"]), "").alias("formatted"), "loss")
-    return out.select("conv_id", "formatted", parsed(F.col("formatted")).alias("turns"), "loss")
+    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "out", "sign"))).alias("t"), F.array_sort(F.collect_list(F.when(F.col("role") == learn, loss))).alias("loss"))
+    out = grouped.select("conv_id", F.array_join(F.transform("t", lambda x: x["out"]), "").alias("formatted"), "loss", F.transform("t", lambda x: x["sign"]).alias("signs"))
+    out = out.withColumn("turns", parsed(F.col("formatted")))
+    same = F.transform("turns", lambda t: sign(t["role"], t["text"])).eqNullSafe(F.col("signs"))
+    return out.select("conv_id", "formatted", F.when(same, F.col("turns")).otherwise(F.raise_error(F.lit("a conversation does not come back from its rendering"))).alias("turns"), "loss")
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What the contract asks of formatted conversations, read back from the output."""
-    pieces = F.split("formatted", r"<\|im_end\|>\n")
-    # the mask's text, from the piece of its turn: the end of the piece is that of the text
-    learnt = F.transform("loss", lambda s: unescaped(F.substring(F.element_at(pieces, s["k"]), F.length(F.element_at(pieces, s["k"])) - s["n"].cast("int") + 1, s["n"].cast("int"))))
+    """What the contract asks of formatted conversations, read back from the output; what is learnt by the offsets of the mask."""
+    learnt = F.transform("loss", lambda s: unescaped(F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["n"].cast("int"))))
     loss = F.array_join(learnt, "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return chats.select(

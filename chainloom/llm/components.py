@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainloom.session import written
+from chainloom.session import discard, written
 
 
 def large_star(links: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
-        links = written(small_star(large_star(links)), "links")
+        before, old = state, links
+        links = written(small_star(large_star(old)), "links")
+        discard(old)
     roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return roots.unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -28,7 +28,7 @@ from chainloom.llm.samples import fresh
 from chainloom.llm.simhash import fingerprints
 from chainloom.llm.simhash import links as linked
 from chainloom.llm.text import LONG, SPACES, U, Words, bounded, mixed, pieces, sections, spans
-from chainloom.session import written
+from chainloom.session import discard, written
 
 #: Words of a shingle. The least Jaccard similarity is 4/5, here in integers: 5 * overlap >= 4 * union.
 SIZE = 5
@@ -159,7 +159,9 @@ def verified(pairs: DataFrame, keyed: DataFrame, size: int) -> DataFrame:
     some = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     sets = written(keyed.join(some, "key", "left_semi").select("key", "text").mapInArrow(whole, "key long, own array<long>"), "near-sets")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+    out = written(both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct(), "near-links")
+    discard(sets)
+    return out
 
 
 def proposed(keyed: DataFrame, size: int) -> DataFrame:
@@ -182,14 +184,13 @@ def near_copies(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_
     """
     key = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     keyed = bounded(docs).select(key.alias("key"), F.col(text_col).alias("text"))
-    links = written(verified(proposed(keyed, size), keyed, size), "near-links")
+    links = verified(proposed(keyed, size), keyed, size)
     roots = written(components(links), "near-roots")
     entries = written(prefixes(keyed, size), "near-prefixes")
     todo, width = entries.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", "n", "pos", F.coalesce("root", "key").alias("label")), PIVOTS
     while True:
         met = written(todo.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_met(width), "token long, key long, n long, pos long, a long, b long"), "near-met")
-        new = written(verified(met.where("a is not null").select("a", "b").distinct(), keyed, size), "near-links")
-        links = links.unionByName(new)
+        links = links.unionByName(verified(met.where("a is not null").select("a", "b").distinct(), keyed, size))
         roots = written(components(links), "near-roots")
         left = met.where("a is null").select("token", "key", "n", "pos")
         if left.isEmpty():

@@ -72,15 +72,15 @@ class Model:
                 if number == 1:
                     own = dict(_fields(value))
                     piece, score, kind = own[1].decode(), float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0]), own.get(3, 1)
-                    if kind == 1 or kind == 4:
+                    if kind == 1:
                         normal.append((len(texts), (piece, score)))
                     elif kind == 6:
                         bytes_[int(piece[1:-1], 16)] = len(texts)
                     elif kind == 2:
                         self.unknown = len(texts)
-                    elif kind == 5:
-                        raise ValueError("unused pieces are not supported")
-                    texts.append(piece if kind in (1, 4) else "")
+                    elif kind in (4, 5):  # the first are never merged with others, the second are split
+                        raise ValueError("user-defined and unused pieces are not supported")
+                    texts.append(piece if kind == 1 else "")
                 elif number == 2:
                     self.bpe = dict(_fields(value)).get(3, 1) == 2
                 elif number == 3:
@@ -292,14 +292,33 @@ class Model:
 
     # -- texts -----------------------------------------------------------
 
-    def encode(self, array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of texts; null and empty ones have no piece."""
+    def sections(self, array: pa.Array, size: int = BATCH):
+        """Arrays of the parts of one text, cut before a space after another printable ASCII character: stretches stay whole."""
+        data, _ = raw(array)
+        at = 0
+        while len(data) - at > size and not self.whole:
+            to = at + size
+            while to < len(data):
+                part = data[to - 1 : to + 4096]
+                safe = np.flatnonzero((part[1:] == 0x20) & (part[:-1] > 0x20) & (part[:-1] < 0x7F))
+                if len(safe):
+                    to += int(safe[0])
+                    break
+                to += 4096
+            to = min(to, len(data))
+            yield pa.array([data[at:to].tobytes()], pa.large_binary())
+            at = to
+        if at < len(data) or not at:
+            yield pa.array([data[at:].tobytes()], pa.large_binary())
+
+    def encode(self, array: pa.Array, begin: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts; null and empty ones have no piece. begin: whether texts start here."""
         data, offsets = raw(array)
         if b"\xe2\x96\x81" in data.tobytes():  # the mark of white space itself
             texts = [data[a:b].tobytes().replace(b"\xe2\x96\x81", b" ") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             data, offsets = raw(pa.array(texts, pa.large_binary()))
         sizes = np.diff(offsets)
-        if self.dummy_prefix:  # one space before each text that is not empty
+        if self.dummy_prefix and begin:  # one space before each text that is not empty
             some = sizes > 0
             shift = np.concatenate([[0], np.cumsum(some)])
             text = np.full(len(data) + int(some.sum()), 0x20, np.uint8)
@@ -342,12 +361,12 @@ class Model:
             _, first = np.unique(inverse, return_index=True)
         return inverse, first
 
-    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    def decode(self, ids: np.ndarray, offsets: np.ndarray, begin: bool = True) -> list[str]:
         """The texts that lists of ids stand for; bytes that are no UTF-8 become U+FFFD."""
         size = self.out_size[ids]
         text = self.out[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.out_at[ids], size)].tobytes()
         at = np.concatenate([[0], np.cumsum(size)])[offsets].tolist()
-        cut = int(self.dummy_prefix)
+        cut = int(self.dummy_prefix and begin)
         return [text[a + (cut if text[a : a + 1] == b" " and b > a else 0) : b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
@@ -356,7 +375,8 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     ids_sha256 is of the ids as little-endian 32-bit numbers; round_trip tells
     whether decoding gives the text back (U+2581 comes back as a space). A null
-    or empty text has no piece; a null doc_id stays null; repeated rows stay
+    or empty text has no piece; a long text is encoded in parts that are cut
+    between stretches; a null doc_id stays null; repeated rows stay
     repeated; an empty table gives an empty table; other columns are not looked
     at. path must exist on every executor.
     """
@@ -364,12 +384,21 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def encode(batches):
         model = Model(path)
         for batch in pieces(batches, "text", BATCH):
-            ids, at = model.encode(batch.column("text"))
-            back = model.decode(ids, at)
-            texts = [(t or "").replace(SPACE, " ") for t in batch.column("text").to_pylist()]
+            if batch.num_rows == 1:
+                parts, same = [], True
+                for k, part in enumerate(model.sections(batch.column("text"))):
+                    own, at = model.encode(part, not k)
+                    same = same and model.decode(own, at, not k) == [part[0].as_py().decode().replace(SPACE, " ")]
+                    parts.append(own)
+                ids, good = np.concatenate(parts), [same]
+                at = np.array([0, len(ids)])
+            else:
+                ids, at = model.encode(batch.column("text"))
+                texts = [(t or "").replace(SPACE, " ") for t in batch.column("text").to_pylist()]
+                good = [a == b for a, b in zip(model.decode(ids, at), texts, strict=True)]
             shas = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(at)), lists, pa.array(shas), pa.array([a == b for a, b in zip(back, texts, strict=True)])], names=["doc_id", "n_pieces", "ids", "ids_sha256", "round_trip"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array(np.diff(at)), lists, pa.array(shas), pa.array(good)], names=["doc_id", "n_pieces", "ids", "ids_sha256", "round_trip"])
 
     rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n_pieces long, ids array<int>, ids_sha256 string, round_trip boolean")

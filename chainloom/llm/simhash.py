@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from chainloom.llm.components import components
 from chainloom.llm.samples import fresh
 from chainloom.llm.text import SPACES, Words, bounded, is_long, pieces, sections
-from chainloom.session import written
+from chainloom.session import discard, written
 
 TAU = 3
 #: Entries of a bucket that are compared at once; more are dealt anew by further bits.
@@ -247,9 +247,8 @@ def _links(batches):
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) with a < b: linked fingerprints; those that connect all that links connect."""
     n, both = bit_counts(distinct)
-    todo, found = entries(distinct, thresholds(n, both)), None
+    todo, found = written(entries(distinct, thresholds(n, both)), "simhash-entries"), None
     while True:
-        todo = written(todo, "simhash-entries")
         sizes = todo.groupBy("mask", "val").agg(F.count("*").alias("n"))
         full = sizes.where(f"n > {crowd} and mask != -1").select("mask", "val")
         crowded = not full.isEmpty()
@@ -258,8 +257,10 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
         part = written(part, "simhash-links")
         found = part if found is None else found.unionByName(part)
         if not crowded:
+            discard(todo)
             return found.distinct()
-        todo = dealt_anew(todo.join(full, ["mask", "val"], "left_semi")).distinct()
+        old, todo = todo, written(dealt_anew(todo.join(full, ["mask", "val"], "left_semi")).distinct(), "simhash-entries")
+        discard(old)
 
 
 def near_groups(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:

@@ -3,11 +3,12 @@
 A long text is cut before a space that stands between two characters other
 than white space. The byte-level pattern starts a new pretoken there, whatever
 follows, and no special string holds a space, so the counts of the parts add
-up to the count of the text.
+up to the count of the text. A tokenizer of another kind takes texts whole.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -17,17 +18,24 @@ from pyspark.sql import functions as F
 
 from chainloom.llm.text import bounded, pieces, raw
 
-#: Characters of a part of a long text, and of a batch that is encoded at once.
+#: Bytes of a part of a long text, and of a batch that is encoded at once.
 PART, BATCH = 1 << 16, 1 << 19
 
 
+def length(text: str) -> int:
+    """Bytes of a text."""
+    return len(text) if text.isascii() else len(text.encode())
+
+
 def parts(text: str, size: int = PART) -> list[str]:
-    """text, cut into parts of about size characters at safe boundaries."""
-    if len(text) <= size:
+    """text, cut into parts of about size bytes at safe boundaries."""
+    total = length(text)
+    if total <= size:
         return [text]
+    step = max(1, size * len(text) // total)
     safe, out, at = re.compile(r"(?<=\S) (?=\S)"), [], 0
-    while len(text) - at > size:
-        cut = safe.search(text, at + size)
+    while len(text) - at > step:
+        cut = safe.search(text, at + step)
         if not cut:
             break
         out.append(text[at : cut.start()])
@@ -35,6 +43,15 @@ def parts(text: str, size: int = PART) -> list[str]:
     return [*out, text[at:]]
 
 
+def may_cut(tokenizer_path: str) -> bool:
+    """Whether a tokenizer starts anew at such a space: byte-level by its own pattern, texts unchanged, no space in a special string."""
+    with open(tokenizer_path, encoding="utf-8") as f:
+        own = json.load(f)
+    before = own.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space", True) and before.get("use_regex", True)
+    return bool(plain and not own.get("normalizer") and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in own.get("added_tokens", [])))
+
+
 def counter(tokenizer_path: str):
     """A function from an iterator of texts to the list of their token counts."""
     import os
@@ -45,6 +62,7 @@ def counter(tokenizer_path: str):
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    cut = parts if may_cut(tokenizer_path) else lambda text: [text]
 
     def count(texts: list[str]) -> np.ndarray:
         totals, batch, owners, size = np.zeros(len(texts), np.int64), [], [], 0
@@ -55,13 +73,14 @@ def counter(tokenizer_path: str):
             batch.clear(), owners.clear()
 
         for i, text in enumerate(texts):
-            for part in parts(text):
-                if batch and size + len(part) > BATCH:
+            for part in cut(text):
+                n = length(part)
+                if batch and size + n > BATCH:
                     flush()
                     size = 0
                 batch.append(part)
                 owners.append(i)
-                size += len(part)
+                size += n
         if batch:
             flush()
         return totals

@@ -47,3 +47,11 @@ def test_plain_texts_are_not_changed_and_bad_strings_are_not_parsed(spark):
     bad = ["x", f"{START}user{END}\n", f"{START}user\n{START}{END}\n", f"{START}user\na{END}", f"user\na{END}\n"]
     out = spark.createDataFrame([(b,) for b in bad], "f string").select(parsed(F.col("f")).alias("t")).collect()
     assert [x.t for x in out] == [None] * len(bad)
+
+
+def test_what_is_learnt_lies_where_the_mask_says(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a question, long enough"), (1, 1, "assistant", "yes <|im_end|> it is"), (1, 2, "assistant", "")], "conv_id long, turn int, role string, text string")
+    chats = formatted(df)
+    moved = chats.withColumn("loss", F.transform("loss", lambda s: s.withField("start", s["start"] - 3)))
+    a, b = digests(chats).first(), digests(moved).first()
+    assert a.loss_sha256 == hashlib.sha256(b"yes <|im_end|> it is").hexdigest() and b.loss_sha256 != a.loss_sha256

@@ -36,6 +36,18 @@ def test_ids_and_texts_equal_the_library(spark):
     assert P.decoded(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), PATH).first().text is None
 
 
+def test_a_long_text_in_parts_has_the_ids_of_the_whole(spark):
+    r = random.Random(3)
+    text = "".join(r.choice([*BITS, "word ", "x; ", "die "]) for _ in range(300000))
+    model, sp = P.Model(PATH), sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for own, size in ((text[:40000], 500), (text[:3000], 1), (" a b  c", 2), ("", 5), ("字" * 900, 100)):
+        cut = list(model.sections(pa.array([own]), size))
+        assert b"".join(x[0].as_py() for x in cut).decode() == own
+        assert [i for k, x in enumerate(cut) for i in model.encode(x, not k)[0].tolist()] == sp.encode(own)
+    got = P.encoded(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    assert len(text.encode()) > P.BATCH / 2 and got.ids == sp.encode(text) and got.round_trip
+
+
 def test_suffix_array_finds_every_occurrence():
     model = P.Model(vocabulary=[("a", 0), ("ab", 0), ("abababababab", 0), ("ababababababababababababab", 0), ("b▁", 0), ("▁a", 0)])
     data = np.frombuffer(b"ababababababababababababababab ab ba abababababab", np.uint8)

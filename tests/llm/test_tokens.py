@@ -3,7 +3,7 @@ import random
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from chainloom.llm.tokencount import parts, token_counts
+from chainloom.llm.tokencount import counter, may_cut, parts, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,3 +28,10 @@ def test_parts_are_cut_where_pretokens_start():
         cut = parts(text, 20)
         assert "".join(cut) == text
         assert [x for p in cut for x in t.encode(p).ids] == t.encode(text).ids
+
+
+def test_a_tokenizer_of_another_kind_takes_texts_whole():
+    other = public_tokenizers.path("word_bpe_49k.json")
+    assert may_cut(PATH) and not may_cut(other)
+    text = "Don't  stop é12 " * 9000
+    assert counter(other)([text]).tolist() == [len(Tokenizer.from_file(other).encode(text, add_special_tokens=False))]
