@@ -56,8 +56,8 @@ f AS (
          CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 8 ELSE 16 END AS byte FROM events)"""
 
 
-def reduced(where: str = "true") -> str:
-    return f"rev AS (SELECT category, digest, CASE WHEN category = 'keys' THEN bit_or(byte) ELSE max(byte) END AS byte, min(height) AS first_height FROM f WHERE {where} GROUP BY category, digest)"
+def reduced() -> str:
+    return "rev AS (SELECT category, digest, CASE WHEN category = 'keys' THEN bit_or(byte) ELSE max(byte) END AS byte, min(height) AS first_height FROM f GROUP BY category, digest)"
 
 
 LOCKS = f"""
@@ -76,7 +76,7 @@ WITNESS = f"""
 w AS (
   SELECT lower({HEX24.format("floor(value / 3)::BIGINT")}) AS point, CASE WHEN user_id % 40 = 0 THEN user_id ELSE 1 END AS rest,
          CASE WHEN user_id % 7 <> 0 THEN user_id % 4 END AS key, length(event_type) AS s, event_id AS height
-  FROM events WHERE event_id % 13 = 0)"""
+  FROM events)"""
 
 FLOW = """
 outv AS (SELECT tx_ord, sum(value) AS v FROM o GROUP BY tx_ord),
@@ -166,7 +166,7 @@ ORACLE: dict[str, str] = {
         HEADERS,
     ),
     "daily_carry_forward": over(
-        """, x AS (SELECT ts // 86400 AS day, CASE WHEN event_type = 'purchase' AND value > 20 THEN round(value, 2)::DECIMAL(20,6) END AS p, 'u' || user_id AS s FROM e WHERE user_id % 9 = 0),
+        """, x AS (SELECT ts // 86400 AS day, CASE WHEN event_type = 'purchase' AND value > 20 THEN round(value, 2)::DECIMAL(20,6) END AS p, 'u' || user_id AS s FROM e),
         g AS (SELECT day, count(*) AS blocks, round((sum(p) / count(p))::DOUBLE, 6) AS mean, min(p)::DOUBLE AS lo, max(p)::DOUBLE AS hi, string_agg(DISTINCT s, '+' ORDER BY s) FILTER (p IS NOT NULL) AS names FROM x GROUP BY day),
         c AS (SELECT unnest(range((SELECT min(day) FROM g), (SELECT max(day) FROM g) + 1)) AS day),
         y AS (SELECT day, blocks, mean, lo, hi, names, last_value(CASE WHEN mean IS NOT NULL THEN day END IGNORE NULLS) OVER w AS held, last_value(mean IGNORE NULLS) OVER w AS carried FROM c LEFT JOIN g USING (day) WINDOW w AS (ORDER BY day))
@@ -179,7 +179,7 @@ ORACLE: dict[str, str] = {
     "offsets_to_lengths": over("SELECT height, first_tx AS off, n_tx AS length FROM blocks", LEDGER),
     "order_violations": """
         SELECT count(*) FILTER (p < lp OR p = lp AND s <= ls) AS violations FROM (
-          SELECT p, s, lag(p) OVER w AS lp, lag(s) OVER w AS ls FROM (SELECT l_orderkey * 8 + l_linenumber AS line, max(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY 1) WINDOW w AS (PARTITION BY line // 4096 ORDER BY line))""",
+          SELECT p, s, lag(p) OVER w AS lp, lag(s) OVER w AS ls FROM (SELECT l_orderkey * 8 + l_linenumber AS line, max(l_partkey) AS p, max(l_suppkey) AS s FROM lineitem GROUP BY 1) WINDOW w AS (ORDER BY line))""",
     "ordinals": over("SELECT tx_ord, height, o_orderkey AS orderkey, sum(c) OVER (ORDER BY tx_ord)::BIGINT - c AS first_out, c AS n_out FROM (SELECT t.*, coalesce(c, 0) AS c FROM t LEFT JOIN (SELECT l_orderkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)", LEDGER),
     "output_ordinals": over("SELECT out_ord, tx_ord, height, out_ord - min(out_ord) OVER (PARTITION BY tx_ord) AS vout, value, lock FROM o", LEDGER),
     "height_of_ordinal": over("SELECT tx_ord, height FROM t WHERE tx_ord % 3 = 0 AND tx_ord < 12000", LEDGER),
@@ -243,7 +243,7 @@ ORACLE: dict[str, str] = {
     "utxo_census": over("SELECT p_type AS type, (height // 500) * 500 AS height_from, count(*) AS entries, sum(value)::BIGINT AS satoshis FROM o JOIN part ON lock = p_partkey WHERE spender IS NULL GROUP BY 1, 2", LEDGER),
     "utxo_census_pivot": over(
         f"""SELECT p_type AS type, {", ".join(f"coalesce(sum(value) FILTER (least(height // 500, 4) = {i}), 0)::BIGINT AS e{i + 1}" for i in range(5))}, sum(value)::BIGINT AS total
-        FROM o JOIN part ON lock = p_partkey WHERE p_type IN (SELECT DISTINCT p_type FROM part ORDER BY 1 LIMIT 4) GROUP BY p_type""",
+        FROM o JOIN part ON lock = p_partkey GROUP BY p_type""",
         LEDGER,
     ),
     "census_totals": f"SELECT coalesce(l_returnflag, 'ALL') AS type, count(*) AS entries, sum({PRICE})::BIGINT AS satoshis FROM lineitem GROUP BY ROLLUP (l_returnflag)",
@@ -273,7 +273,7 @@ ORACLE: dict[str, str] = {
     ),
     "bridge_hubs": over("SELECT (SELECT count(DISTINCT bridge) FROM hop) AS bridges, (SELECT count(*) FROM fan WHERE fanout > 120) AS not_expanded", LEDGER, MINE.format(9), capped(50), BRIDGE),
     "payment_arcs": over("SELECT DISTINCT a.pos AS from_pos, b.pos AS to_pos, y.tx_ord FROM h x JOIN mine a USING (lock) JOIN o y ON y.tx_ord = x.spender JOIN mine b ON b.lock = y.lock WHERE a.pos <> b.pos", LEDGER, MINE.format(200)),
-    "same_key": "SELECT a.p_partkey AS pos_a, b.p_partkey AS pos_b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND a.p_partkey % 2 <> b.p_partkey % 2 WHERE a.p_partkey <= 200 AND b.p_partkey <= 200",
+    "same_key": "SELECT a.p_partkey AS pos_a, b.p_partkey AS pos_b FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND a.p_partkey % 2 <> b.p_partkey % 2",
     "separations": """
         WITH br AS (
           SELECT least(x.n_name, y.n_name) AS a, greatest(x.n_name, y.n_name) AS b, CASE WHEN s_suppkey % 4 = 0 THEN 'same_key' ELSE 'common_input' END AS kind, s_suppkey AS seen
@@ -290,12 +290,12 @@ ORACLE: dict[str, str] = {
     "face_fanout": over("SELECT type, count(*) AS n, sum(height)::BIGINT AS heights FROM opens GROUP BY type", LEDGER, LOCKS),
     "bitmap_bytes": over("SELECT type, i // 8 AS byte_no, sum(CASE WHEN burn_height IS NULL THEN 0 ELSE 1 << (i % 8)::INT END)::INT AS byte FROM (SELECT *, row_number() OVER (PARTITION BY type ORDER BY lock) - 1 AS i FROM b) GROUP BY 1, 2", LEDGER, LOCKS),
     "revelation_reduce": over("SELECT * FROM rev", FLAGS, reduced()),
-    "perimeter_filter": over("SELECT * FROM rev WHERE category <> 'keys' OR byte & 3 <> 0", FLAGS, reduced("height % 50 = 0")),
+    "perimeter_filter": over("SELECT * FROM rev WHERE category <> 'keys' OR byte & 3 <> 0", FLAGS, reduced()),
     "exposure_status": over(
         """SELECT a.*, CASE WHEN kind = 'p2tr' THEN 'exposed_by_construction' WHEN first_height IS NOT NULL THEN 'exposed_by_reuse' ELSE 'protected' END AS status, first_height
         FROM (SELECT CASE WHEN i % 3 = 0 THEN 'keys' ELSE 'scripts20' END AS category, i AS digest, CASE WHEN i % 11 = 0 THEN 'p2tr' ELSE 'p2pkh' END AS kind FROM range(160) v(i)) a LEFT JOIN rev USING (category, digest)""",
         FLAGS,
-        reduced("height % 70 = 0"),
+        reduced(),
     ),
     "nonce_groups": over(
         """SELECT point, count(*) AS count, bit_or(flags) AS flags, min(height) AS first_height, max(height) AS last_height,
@@ -366,7 +366,7 @@ ORACLE: dict[str, str] = {
           (1, 'bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4', 'p2wpkh', '751e76e8199196d454941c45d1b3a323f1433bd6', '0014751e76e8199196d454941c45d1b3a323f1433bd6', false),
           (2, 'BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4', 'p2wpkh', '751e76e8199196d454941c45d1b3a323f1433bd6', '0014751e76e8199196d454941c45d1b3a323f1433bd6', false),
           (3, '1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb', NULL, NULL, NULL, true)) v(pos, address, kind, digest, script, refused)
-        UNION ALL SELECT p_partkey + 100, p_name, NULL, NULL, NULL, true FROM part WHERE p_partkey <= 5""",
+        UNION ALL SELECT p_partkey + 100, p_name, NULL, NULL, NULL, true FROM part""",
     "pubkey_shapes": "SELECT CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 = 2 ELSE p_partkey % 4 IN (0, 1) END AS is_key, count(*) AS n FROM part GROUP BY 1",
     "sighash_codes": """
         SELECT CASE WHEN b IS NULL THEN 0 WHEN b IN (1, 2, 3) THEN b WHEN b IN (129, 130, 131) THEN b - 125 ELSE 7 END::INT * 4 AS bits, count(*) AS n,
@@ -376,7 +376,7 @@ ORACLE: dict[str, str] = {
         """SELECT category, digest, array_to_string(list_filter([CASE WHEN byte & 1 <> 0 THEN 'in a scriptSig' END, CASE WHEN byte & 2 <> 0 THEN 'in a witness' END, CASE WHEN byte & 4 <> 0 THEN 'inside a redeem script' END,
         CASE WHEN byte & 8 <> 0 THEN 'inside a witness script' END, CASE WHEN byte & 16 <> 0 THEN 'uncompressed' END], lambda x: x IS NOT NULL), '; ') AS story FROM rev""",
         FLAGS,
-        reduced("height % 50 = 0"),
+        reduced(),
     ),
     "height_samples": over(
         """, x AS (SELECT o_custkey, h, row_number() OVER (PARTITION BY o_custkey ORDER BY h) AS k FROM (SELECT o_custkey, height // 200 AS h FROM t)),

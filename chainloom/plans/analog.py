@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chainloom.plans.ledger import history, ordinals, spend_heights
+from chainloom.session import written
 
 
 @dataclass
@@ -99,6 +100,11 @@ class Ledger:
     def full_history(self) -> DataFrame:
         return spend_heights(self.history, self.tx_list)
 
+    @cached_property
+    def sealed_history(self) -> DataFrame:
+        """full_history as a table, where a plan reads it several times."""
+        return written(self.full_history, "history")
+
     @cached_property
     def mine(self) -> DataFrame:
         """(pos, lock): the caller's list, parts 1 to 8."""

@@ -19,7 +19,9 @@ from chainloom.plans import ledger, links, nonces, reveal
 
 OK, UNSUPPORTED, UNDETERMINED = "ok", "unsupported", "undetermined"
 CLAIMS = ("separate", "watching")
+# What an origin may tell, and the words of two of its keys.
 ORIGIN = {"method", "descriptor_checksum", "script_type", "chain", "range", "gap_limit", "derived_at_height", "derived_by"}
+WORDS = {"method": ("descriptor", "wallet-export", "manual"), "chain": ("receive", "change", "both")}
 CAVEAT = "Spending together is a hint of one owner, not a proof: joint transactions break it."
 ARC_CAVEAT = "A payment is no sign of one owner."
 CATEGORY = {"p2pkh": "keys", "p2wpkh": "keys", "p2sh": "scripts20", "p2wsh": "scripts32"}
@@ -48,6 +50,19 @@ def _only(value, needed: set[str], allowed: set[str], where: str) -> dict:
     return value
 
 
+def _whole(x) -> bool:
+    return type(x) is int
+
+
+def _sound(key: str, x) -> bool:
+    """Whether x is of the kind that an origin's key takes."""
+    if key in WORDS:
+        return x in WORDS[key]
+    if key == "range":
+        return x is None or isinstance(x, list) and len(x) == 2 and all(map(_whole, x))
+    return _whole(x) if key in ("gap_limit", "derived_at_height") else isinstance(x, str)
+
+
 def address_book(text: str) -> Book:
     """A book of format address-book-v2. Unknown keys, claims and forms, and addresses in two groups are errors."""
     try:
@@ -68,7 +83,9 @@ def address_book(text: str) -> Book:
         if claim not in CLAIMS:
             raise BookError(f"{label}: a claim is one of {CLAIMS}")
         if "origin" in group:
-            _only(group["origin"], set(), ORIGIN, f"{label}: origin")
+            odd = [k for k, x in _only(group["origin"], set(), ORIGIN, f"{label}: origin").items() if not _sound(k, x)]
+            if odd:
+                raise BookError(f"{label}: origin: not a value that is known: {', '.join(odd)}")
         if not isinstance(group["addresses"], list) or not all(isinstance(a, str) for a in group["addresses"]):
             raise BookError(f"{label}: addresses must be a list of strings")
         book.claims[label] = claim

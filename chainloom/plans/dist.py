@@ -68,8 +68,12 @@ def _highest(k: Column) -> Column:
 
 def gini_parts(ranks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, count, total, gini_num): gini = gini_num / (count * total)."""
+    return ranks.groupBy(*keys).agg(*_gini())
+
+
+def _gini() -> list[Column]:
     term = F.col("amount").cast(BIG) * (F.col("n") * (2 * F.col("before") + F.col("n") - F.col("count"))).cast(BIG)
-    return ranks.groupBy(*keys).agg(F.max("count").alias("count"), F.max("total").alias("total"), F.sum(term.cast(BIG)).cast(BIG).alias("gini_num"))
+    return [F.max("count").alias("count"), F.max("total").alias("total"), F.sum(term.cast(BIG)).cast(BIG).alias("gini_num")]
 
 
 def gini_of(num: Column, count: Column, total: Column) -> Column:
@@ -81,9 +85,8 @@ def gini_of(num: Column, count: Column, total: Column) -> Column:
 def order_stats(df: DataFrame, keys: list[str], amount: str) -> DataFrame:
     """(keys, count, total, mean, median, p90, p99, max, gini_num, gini); mean is rounded down."""
     ranks = ranked(df, keys, amount)
-    quantiles = ranks.groupBy(*keys).agg(_at(_rank(0.5)).alias("median"), _at(_rank(0.9)).alias("p90"), _at(_rank(0.99)).alias("p99"), F.max("amount").alias("max"))
-    out = gini_parts(ranks, keys)
-    out = out.join(quantiles, keys) if keys else out.crossJoin(quantiles)  # one row each
+    quantiles = [_at(_rank(0.5)).alias("median"), _at(_rank(0.9)).alias("p90"), _at(_rank(0.99)).alias("p99"), F.max("amount").alias("max")]
+    out = ranks.groupBy(*keys).agg(*_gini(), *quantiles)
     return out.select(*keys, "count", F.col("total").cast("long").alias("total"), F.expr("cast(total div count as bigint)").alias("mean"), "median", "p90", "p99", "max", "gini_num", gini_of(F.col("gini_num"), F.col("count"), F.col("total")).alias("gini"))
 
 

@@ -55,10 +55,17 @@ def cumulative(events: DataFrame, kinds: list[str], value: str, every: int, last
 
 
 def median_time_past(headers: DataFrame, height: str = "height", time: str = "time", span: int = 11) -> DataFrame:
-    """headers with median_time: of the last span times, the upper of the middle ones."""
-    own = Window.orderBy(height).rowsBetween(-(span - 1), 0)
+    """headers with median_time: of the last span times, the upper of the middle ones.
+
+    Heights follow one another. A bucket of them is a partition of its own,
+    which is also given the span - 1 headers before it.
+    """
+    size, here = 1 << 14, F.expr(f"{height} div {1 << 14}")
+    shared = F.when(F.pmod(F.col(height), F.lit(size)) > size - span, F.array(here, here + 1)).otherwise(F.array(here))
+    own = Window.partitionBy("__bucket").orderBy(height).rowsBetween(-(span - 1), 0)
     times = F.sort_array(F.collect_list(time).over(own))
-    return headers.withColumn("median_time", F.element_at(times, (F.floor(F.size(times) / 2) + 1).cast("int")))
+    rows = headers.withColumn("__bucket", F.explode(shared)).withColumn("median_time", F.element_at(times, (F.floor(F.size(times) / 2) + 1).cast("int")))
+    return rows.where(F.col("__bucket") == here).drop("__bucket")
 
 
 def asof(left: DataFrame, right: DataFrame, left_time: str, right_time: str, value: str, stale_after: int, out: str = "price", bucket: int = DAY) -> DataFrame:

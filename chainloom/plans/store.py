@@ -150,7 +150,10 @@ class Store:
     # -- writing
 
     def commit(self, tables: dict[str, DataFrame], first: int, last: int, verb: str = "build") -> dict:
-        """Writes a generation with its manifest, makes it the current one and sweeps the others."""
+        """Writes a generation with its manifest, makes it the current one and sweeps all but the one before.
+
+        Readers that have opened that one can finish; the next commit sweeps it.
+        """
         if set(tables) != set(self.keys):
             raise StoreError("the tables are not those of this store")
         before = self.current()
@@ -167,12 +170,12 @@ class Store:
         manifest["statement"] = statement(manifest)
         self.files.write(f"{name}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
         self.files.write("CURRENT", name)
-        self.sweep()
+        self.sweep(before)
         return manifest
 
-    def sweep(self) -> list[str]:
-        """Removes generations that CURRENT does not name, and files that a crash has left."""
-        held = {"CURRENT", self.current()}
+    def sweep(self, keep: str | None = None) -> list[str]:
+        """Removes generations that CURRENT does not name, but for keep, and files that a crash has left."""
+        held = {"CURRENT", self.current(), keep}
         gone = [n for n in self.files.names() if n not in held and not n.endswith(".crc")]
         for n in gone:
             self.files.remove(n)
@@ -204,8 +207,18 @@ class Store:
             out.append("the statement is not that of the manifest")
         if [f["name"] for f in own["files"]] != list(self.keys):
             out.append("the list of tables is another one")
-        for entry in own["files"] if deep else ():
+        if not own["coverage"]["from"] <= own["coverage"]["to"]:
+            out.append("the coverage is empty")
+        if self.parent and own["coverage"]["to"] > self.parent["coverage"]["to"]:
+            out.append("the coverage goes beyond that of the parent")
+        if list(own["build"]["rows"]) and set(own["build"]["rows"]) != set(self.keys):
+            out.append("the rows are of other tables")
+        for entry in own["files"]:
             table = self.read(entry["name"])
+            if table.count() != own["build"]["rows"].get(entry["name"]):
+                out.append(f"{entry['name']}: the rows are not as many as in the manifest")
+            if not deep:
+                continue
             if content_digest(table, sorted(table.columns), self.keys[entry["name"]]) != entry["sha256"]:
                 out.append(f"{entry['name']}: the content is not that of the manifest")
         return out

@@ -107,15 +107,14 @@ def revelation_windows(l: Ledger) -> DataFrame:
 def last_line_wins(l: Ledger) -> DataFrame:
     """Of the lines of an order and line number, the last by ship date and the remaining columns."""
     keys = ["l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
-    rows = l.lines.withColumn("line", F.struct(*keys))
-    own = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(F.col("line").desc())
-    return rows.withColumn("k", F.row_number().over(own)).where("k = 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents("l_extendedprice").alias("cents"))
+    rows = l.lines.withColumns({"line": F.struct(*keys), "of": F.struct("l_orderkey", "l_linenumber")})
+    return series.last_line(rows, "of").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents("l_extendedprice").alias("cents"))
 
 
 @query
 def median_time_past(l: Ledger) -> DataFrame:
-    rows = l.events.where("event_type <> 'purchase'").select(F.row_number().over(Window.orderBy("event_id")).alias("height"), (F.col("ts") + F.pmod(F.xxhash64("event_id"), F.lit(1)) + (F.col("event_id") * 7919) % 4001).alias("time"))
-    return series.median_time_past(rows)
+    rows = l.events.where("event_type <> 'purchase'").select("event_id", (F.col("ts") + (F.col("event_id") * 7919) % 4001).alias("time"))
+    return series.median_time_past(ledger.ordinals(rows.withColumn("day", F.expr("event_id div 4096")), "day", [F.col("event_id")], name="n").select((F.col("n") + 1).alias("height"), "time"))
 
 
 def prices(l: Ledger, kind: str) -> DataFrame:
@@ -314,12 +313,7 @@ def fiat_fees(l: Ledger) -> DataFrame:
 
 @query
 def block_stats(l: Ledger) -> DataFrame:
-    n_tx = l.orders.groupBy("height").agg(F.count("*").alias("n_tx"))
-    per = l.values.groupBy("tx_ord", "height").agg(F.count("*").alias("n"), F.sum("value").alias("v"))
-    out = per.groupBy("height").agg(F.sum("n").alias("n_outputs"), F.sum("v").alias("value_created"))
-    in_ = per.join(l.next_tx, "tx_ord").where("spender_tx is not null").select("spender_tx", "n").join(l.tx_list.select(F.col("tx_ord").alias("spender_tx"), F.col("height").alias("h")), "spender_tx").groupBy(F.col("h").alias("height")).agg(F.sum("n").alias("n_inputs"))
-    rows = n_tx.join(in_, "height", "left").join(out, "height", "left")
-    return rows.select("height", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_tx", "n_inputs", "n_outputs", "value_created")))
+    return ledger.block_stats(l.blocks, l.tx_list, l.outputs, l.spends)
 
 
 @query
@@ -362,27 +356,27 @@ def cospends(l: Ledger) -> DataFrame:
 
 @query
 def co_inputs_capped(l: Ledger) -> DataFrame:
-    return links.co_inputs(l.full_history, l.mine, cap=12)
+    return links.co_inputs(l.sealed_history, l.mine, cap=12)
 
 
 @query
 def common_input_pairs(l: Ledger) -> DataFrame:
-    return links.common_input(l.full_history, l.tx_list, l.spark.range(1, 60).select((F.col("id") - 1).alias("pos"), F.col("id").alias("lock")), cap=20)
+    return links.common_input(l.sealed_history, l.tx_list, l.spark.range(1, 60).select((F.col("id") - 1).alias("pos"), F.col("id").alias("lock")), cap=20)
 
 
 @query
 def common_input_bridge(l: Ledger) -> DataFrame:
-    return links.through_bridge(l.full_history, l.tx_list, l.mine, cap=50, hub=120)
+    return links.through_bridge(l.sealed_history, l.tx_list, l.mine, cap=50, hub=120)
 
 
 @query
 def bridge_hubs(l: Ledger) -> DataFrame:
-    return links.hubs(l.full_history, l.mine, cap=50, hub=120)
+    return links.hubs(l.sealed_history, l.mine, cap=50, hub=120)
 
 
 @query
 def payment_arcs(l: Ledger) -> DataFrame:
-    return links.payment_arcs(l.full_history, l.outputs, l.spark.range(1, 200).select((F.col("id") - 1).alias("pos"), F.col("id").alias("lock")))
+    return links.payment_arcs(l.sealed_history, l.outputs, l.spark.range(1, 200).select((F.col("id") - 1).alias("pos"), F.col("id").alias("lock")))
 
 
 def brands(l: Ledger) -> DataFrame:
@@ -435,7 +429,7 @@ def burn_semi(l: Ledger) -> DataFrame:
 
 @query
 def burn_anti(l: Ledger) -> DataFrame:
-    return locks(l).join(opens(l), ["type", "lock"], "left_anti").select("type", "lock", "sats")
+    return reveal.burned(locks(l), opens(l)).where("burn_height is null").select("type", "lock", "sats")
 
 
 @query
@@ -575,8 +569,8 @@ def append_equals_rebuild(l: Ledger) -> DataFrame:
 @query
 def rewind_cut(l: Ledger) -> DataFrame:
     """Balances as of a height, by cutting the tables back to it."""
-    cut = l.lot.where("height <= 900").withColumn("spender_tx", F.when(F.col("spend_height") <= 900, F.col("spender_tx")))
-    return ledger.balances(cut)
+    outputs, spends, txs = ledger.rewind(l.outputs, l.spends, l.tx_list, 900)
+    return ledger.balances(ledger.spend_heights(ledger.history(outputs, spends), txs))
 
 
 @query
