@@ -387,6 +387,92 @@ def report_run(spark, o):
     return report_page(pages)
 
 
+STORE, PARENT, TO = opt("store"), opt("--parent", help="the store of the index that this one is bound to"), opt("--to", type=int)
+
+
+def _sealed(kind: str):
+    """The verbs that every kind of store has."""
+    from chainloom.plans import sealed
+
+    def told(manifest: dict) -> str:
+        return f"heights {manifest['coverage']['from']}-{manifest['coverage']['to']}, fingerprint {manifest['fingerprint']}\n"
+
+    def store(spark, o):
+        return sealed.opened(spark, kind, o.store, o.parent)
+
+    @verb(kind, "build", DATA, STORE, PARENT, TO)
+    def build(spark, o):
+        """Seals the tables of ingested data up to a height."""
+        return told(sealed.build(store(spark, o), kind, Data(spark, o.data), o.to))
+
+    @verb(kind, "append", DATA, STORE, PARENT, TO)
+    def append(spark, o):
+        """Takes a store on to a later height."""
+        return told(sealed.append(store(spark, o), kind, Data(spark, o.data), o.to))
+
+    @verb(kind, "rewind", STORE, opt("height", type=int), PARENT)
+    def rewind(spark, o):
+        """Takes a store back to a height."""
+        return told(sealed.rewind(store(spark, o), kind, o.height))
+
+    @verb(kind, "stats", STORE, PARENT)
+    def stats(spark, o):
+        """Rows, digests and heights of a store's tables."""
+        return sealed.stats(store(spark, o)).orderBy("name")
+
+    @verb(kind, "check", STORE, PARENT, opt("--shallow", action="store_true"))
+    def check_(spark, o):
+        """What is wrong with a store, a line each."""
+        return "".join(f"{x}\n" for x in store(spark, o).verify(not o.shallow)) or "sealed and whole\n"
+
+
+for _kind in ("index", "derived", "firstspend"):
+    _sealed(_kind)
+
+
+@verb("graph", "stats", DATA)
+def graph_stats(spark, o):
+    """Rows of the ingested tables and the heights they cover."""
+    d = Data(spark, o.data)
+    parts = [getattr(d, n).agg(F.lit(n).alias("name"), F.count("*").alias("rows"), F.min(h).alias("from_height"), F.max(h).alias("to_height")) for n, h in (("blocks", "height"), ("txs", "height"), ("outputs", "height"), ("inputs", "height"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).orderBy("name")
+
+
+@verb("graph", "show", DATA, opt("height", type=int))
+def graph_show(spark, o):
+    """The transactions of a block."""
+    return Data(spark, o.data).txs.where(F.col("height") == o.height).orderBy("tx_ord")
+
+
+@verb("graph", "fingerprint", DATA)
+def graph_fingerprint(spark, o):
+    """Digests of the contents of transactions and outputs."""
+    d = Data(spark, o.data)
+    return "".join(f"{n} {audit.content_digest(t, sorted(t.columns), k)}\n" for n, t, k in (("txs", d.txs, "tx_ord"), ("outputs", d.outputs, "out_ord")))
+
+
+@verb("headers", "fingerprint", DATA)
+def headers_fingerprint(spark, o):
+    """A digest of the headers in order of height."""
+    own = Data(spark, o.data).blocks
+    return f"headers {audit.content_digest(own, sorted(own.columns), 'height')}\n"
+
+
+@verb("headers", "crosscheck", DATA)
+def headers_crosscheck(spark, o):
+    """Headers whose number of transactions is not that of the ingested ones."""
+    d = Data(spark, o.data)
+    own = d.txs.groupBy("height").agg(F.count("*").alias("found"))
+    return d.blocks.select("height", "n_tx").join(own, "height", "full").where("n_tx is distinct from found").orderBy("height")
+
+
+@verb("price", "stats", DATA, *SERIES)
+def price_stats(spark, o):
+    """Of the blocks' prices: how many, how many have none, by series."""
+    rows = lookups.block_prices(Data(spark, o.data).blocks, _series(spark, o))
+    return rows.groupBy("series").agg(F.count("*").alias("blocks"), F.min("height").alias("from_height"), F.max("height").alias("to_height"), F.count("price").alias("priced")).orderBy("series")
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     parser = argparse.ArgumentParser(prog="chainloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     groups = parser.add_subparsers(dest="group", required=True)

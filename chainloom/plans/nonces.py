@@ -76,10 +76,11 @@ def witness(found: DataFrame, points: DataFrame) -> DataFrame:
     """(r, key, s, s_raw, height, flags) of each signature of the points asked for.
 
     The key is told only where an input has one such signature and one key.
+    An input is named by height, tx_ord and idx.
     """
     items = F.concat("pushes", "witness")
     keys = F.filter(items, lambda k: looks_like_pubkey(k) | ((F.length(k).isin(33, 65)) & F.hex(F.substring(k, 1, 1)).isin("02", "03", "04")))
-    rows = found.withColumn("input", F.monotonically_increasing_id()).select("input", "height", keys.alias("keys"), F.explode("sig.found").alias("x"))
+    rows = found.withColumn("input", F.struct("height", "tx_ord", "idx")).select("input", "height", keys.alias("keys"), F.explode("sig.found").alias("x"))
     rows = rows.join(points.select(F.col("point")), F.substring("x.r", 1, POINT) == F.col("point"), "left_semi")
     rows = rows.withColumn("hits", F.count("*").over(Window.partitionBy("input")))
     many = (F.col("hits") > 1) | (F.size("keys") > 1)
