@@ -240,14 +240,14 @@ def test_batches_give_what_one_pass_gives(spark, tmp_path):
 
 # -- the report ---------------------------------------------------------------
 
-GOOD = {"format": "address-book-v2", "groups": [{"label": "a", "claim": "separate", "addresses": ["x", "x"]}, {"label": "b", "claim": "watching", "addresses": ["y"], "origin": {"method": "m"}}]}
+GOOD = {"format": "address-book-v2", "groups": [{"label": "a", "claim": "separate", "addresses": ["x", "x"]}, {"label": "b", "claim": "watching", "addresses": ["y"], "origin": {"method": "manual", "range": [0, 9], "gap_limit": 20}}]}
 
 
 def test_address_books():
     book = K.address_book(json.dumps(GOOD))
     assert (book.repeats, book.separate, book.group_of) == (1, ["a"], {"x": "a", "y": "b"})
     change = lambda **g: json.dumps(GOOD | {"groups": [GOOD["groups"][0] | g, GOOD["groups"][1]]})
-    for bad in ("[", "{}", json.dumps(GOOD | {"format": "v1"}), json.dumps(GOOD | {"x": 1}), change(claim="mine"), change(label="b"), change(addresses=["y"]), change(addresses="x"), change(extra=1), change(origin={"who": 1})):
+    for bad in ("[", "{}", json.dumps(GOOD | {"format": "v1"}), json.dumps(GOOD | {"x": 1}), change(claim="mine"), change(label="b"), change(addresses=["y"]), change(addresses="x"), change(extra=1), change(origin={"who": 1}), *(change(origin=o) for o in ({"method": "telepathy"}, {"chain": "recieve"}, {"range": [1]}, {"gap_limit": True}, {"derived_by": 3}))):
         with pytest.raises(K.BookError):
             K.address_book(bad)
 
