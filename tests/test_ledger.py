@@ -203,7 +203,7 @@ def test_nonces_and_resolutions(spark):
         (5, [], [bytes(31) + b"\1" + bytes(32)]), (6, [], [bytes(31) + b"\1" + bytes(31) + b"\2"]),
         (7, [der(r1 + 1, 4), k], []), (7, None, None),
     ]
-    df = spark.createDataFrame([(h, p or [], w or []) for h, p, w in inputs], "height long, pushes array<binary>, witness array<binary>")
+    df = spark.createDataFrame([(h, i, 0, p or [], w or []) for i, (h, p, w) in enumerate(inputs)], "height long, tx_ord long, idx int, pushes array<binary>, witness array<binary>")
     found = nonces.extracted(df)
     rows_ = nonces.census(found)
     groups = {bytes(r.point)[3:]: r for r in nonces.groups(rows_).collect()}
