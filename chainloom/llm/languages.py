@@ -20,6 +20,8 @@ from chainloom.llm.text import bounded, pieces, raw
 
 #: Units of each direction; bytes of a segment that are labelled; of its margins.
 UNITS, SEGMENT, MARGIN = 12, 240, 8
+#: Segments that are read at once.
+BATCH = 2048
 #: Labelled rows that training takes at most, bytes of their texts together, and steps.
 SAMPLE, SAMPLE_BYTES, STEPS = 3000, 24 << 20, 260
 UND = "und"
@@ -68,6 +70,38 @@ class Direction:
             out[t] = h
         return (out, tape) if keep else out
 
+    def states(self, symbols: np.ndarray):
+        """(t, state after symbol t), the state in an array that the next step overwrites.
+
+        The same as forward, with the sigmoid written as a tanh and its factors
+        taken into the weights: z = (1 + u) / 2 and r = (1 + v) / 2, where u and
+        v are tanh of half the sums.
+        """
+        k, batch = self.state.shape[0], symbols.shape[1]
+        xs = [np.ascontiguousarray(self.x[:, i * k : (i + 1) * k]) * np.float32(f) for i, f in enumerate((0.5, 0.5, 1))]
+        update, reset = (np.ascontiguousarray(self.gates[:, i * k : (i + 1) * k]) * np.float32(0.5) for i in range(2))
+        state = self.state * np.float32(0.5)
+        h = np.zeros((batch, k), np.float32)
+        u, v, c, g = (np.empty_like(h) for _ in range(4))
+        for t, at in enumerate(symbols):
+            np.matmul(h, reset, out=v)
+            v += np.take(xs[1], at, axis=0, out=g, mode="clip")
+            np.tanh(v, out=v)
+            v *= h
+            v += h
+            np.matmul(v, state, out=c)
+            c += np.take(xs[2], at, axis=0, out=g, mode="clip")
+            np.tanh(c, out=c)
+            np.matmul(h, update, out=u)
+            u += np.take(xs[0], at, axis=0, out=g, mode="clip")
+            np.tanh(u, out=u)
+            c -= h
+            c *= np.float32(0.5)
+            h += c
+            c *= u
+            h += c
+            yield t, h
+
     def backward(self, symbols: np.ndarray, tape, dout: np.ndarray):
         """Gradients of the weights, by backpropagation through time."""
         time, batch = symbols.shape
@@ -144,15 +178,35 @@ class Network:
             return out
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(segments) - segments, segments)
         begin, lo, hi = offsets[doc] + nth * SEGMENT, offsets[doc], offsets[doc + 1]
-        for a in range(0, len(doc), 2048):
-            b = slice(a, a + 2048)
+        for b in np.array_split(np.arange(len(doc)), -(-len(doc) // BATCH)):
             at = begin[b][None, :] + np.arange(-MARGIN, SEGMENT + MARGIN)[:, None]
             inside = (at >= lo[b]) & (at < hi[b])
-            symbols = np.where(inside, data[np.clip(at, 0, len(data) - 1)].astype(np.int16), PAD)
-            p = self.probabilities(symbols)[MARGIN : MARGIN + SEGMENT]
-            np.add.at(out, doc[b], np.einsum("tbl,tb->bl", p, inside[MARGIN : MARGIN + SEGMENT].astype(np.float32)))
+            symbols = np.where(inside, data[np.clip(at, 0, len(data) - 1)].astype(np.int64), PAD)
+            np.add.at(out, doc[b], self.summed(symbols, inside.astype(np.float32)).T)
         return out / np.maximum(sizes, 1)[:, None]
 
+    def summed(self, symbols: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """Probabilities of (time, batch) symbols, summed over the positions inside that are in no margin: (language, batch)."""
+        time, batch = symbols.shape
+        k = len(self.top) // 2
+        ahead, behind = (np.ascontiguousarray(w.T) for w in (self.top[:k], self.top[k:]))
+        scores = np.empty((time, len(self.languages), batch), np.float32)
+        for t, h in self.along.states(symbols):
+            if MARGIN <= t < MARGIN + SEGMENT:
+                np.matmul(ahead, h.T, out=scores[t])
+        out, part = np.zeros(scores.shape[1:], np.float32), np.empty(scores.shape[1:], np.float32)
+        for t, h in self.back.states(symbols[::-1]):
+            t = time - 1 - t
+            if MARGIN <= t < MARGIN + SEGMENT:
+                p = scores[t]
+                p += np.matmul(behind, h.T, out=part)
+                p += self.bias[:, None]
+                p -= p.max(0)
+                np.exp(p, out=p)
+                p *= inside[t] / p.sum(0)
+                out += p
+        return out
+
 
 def trained(passages: list[bytes], labels: list[str], units: int = UNITS, steps: int = STEPS, seed: int = 11) -> Network:
     """A network fitted to passages by Adam."""
