@@ -116,8 +116,9 @@ def _met(width: int):
             if (label[a:b] == label[a]).all():
                 continue
             to = min(a + width, b)
-            for i in range(a, to):
+            for i in range(a, to):  # what can't be similar is left out at once: memory goes by the pairs to verify
                 j = np.arange(i + 1, b)
+                j = j[(label[j] != label[i]) & _possible(n, pos, i, j)]
                 first.append(np.full(len(j), i)), second.append(j)
             if b - to > 1:
                 left.append(np.arange(to, b))
@@ -187,16 +188,20 @@ def near_copies(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", text_
     links = verified(proposed(keyed, size), keyed, size)
     roots = written(components(links), "near-roots")
     entries = written(prefixes(keyed, size), "near-prefixes")
-    todo, width = entries.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", "n", "pos", F.coalesce("root", "key").alias("label")), PIVOTS
+    labelled = lambda rows: rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", "n", "pos", F.coalesce("root", "key").alias("label"))
+    todo, width = labelled(entries), PIVOTS
     while True:
         met = written(todo.repartition("token").sortWithinPartitions("token", "key").mapInArrow(_met(width), "token long, key long, n long, pos long, a long, b long"), "near-met")
-        links = links.unionByName(verified(met.where("a is not null").select("a", "b").distinct(), keyed, size))
-        roots = written(components(links), "near-roots")
+        pairs = met.where("a is not null").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            links = verified(pairs, keyed, size)
+            if not links.isEmpty():  # the components so far are stars; only what links them anew is followed
+                roots = written(components(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(links)), "near-roots")
         left = met.where("a is null").select("token", "key", "n", "pos")
         if left.isEmpty():
             break
-        todo = left.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select("token", "key", "n", "pos", F.coalesce("root", "key").alias("label"))
-        width *= 4
+        todo = labelled(left)
+        width *= 16
     own = docs.select(key.alias("key"), F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).cast("long").alias("id"), key.alias("key")).alias("rank"))
     members = written(own.join(roots.select(F.col("node").alias("key"), "root"), "key"), "near-members")
     (name,) = fresh(docs.columns, "key")
