@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CAP, HUB = 10_000, 1_000
+CAP, HUB, BLOCK = 10_000, 1_000, 512
 
 
 def cospends(spends: DataFrame, outputs: DataFrame, out_ords: DataFrame) -> DataFrame:
@@ -104,11 +104,26 @@ def payment_arcs(history: DataFrame, outputs: DataFrame, mine: DataFrame) -> Dat
     return funded.join(paid, "tx_ord").where("from_pos <> to_pos").select("from_pos", "to_pos", "tx_ord")
 
 
-def same_key(addresses: DataFrame) -> DataFrame:
-    """(pos_a, pos_b): addresses of one key digest under two encodings; addresses(pos, kind, digest)."""
-    keys = addresses.where(F.col("kind").isin("p2pkh", "p2wpkh"))
-    a, b = keys.select(F.col("pos").alias("pos_a"), "digest", F.col("kind").alias("kind_a")), keys.select(F.col("pos").alias("pos_b"), "digest", F.col("kind").alias("kind_b"))
-    return a.join(b, "digest").where("pos_a < pos_b and kind_a <> kind_b").select("pos_a", "pos_b")
+def same_key(addresses: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(pos_a, pos_b): addresses of one key digest under two encodings; addresses(pos, kind, digest).
+
+    All pairs, so their number grows with the square of a digest's addresses.
+    The positions of each kind are dealt to blocks of about block; two blocks
+    are one row, which any task may take, and are unfolded only there.
+    """
+    one = F.col("kind") == "p2pkh"
+    keys = addresses.where(F.col("kind").isin("p2pkh", "p2wpkh") & F.col("pos").isNotNull()).select("pos", "kind", "digest")
+    sizes = keys.groupBy("digest").agg(*(F.ceil(F.count_if(c) / block).alias(n) for c, n in ((one, "n_a"), (~one, "n_b")))).where("n_a > 0 and n_b > 0")
+    own = F.pmod(F.xxhash64("pos"), F.when(one, F.col("n_a")).otherwise(F.col("n_b")))
+    blocks = keys.join(sizes, "digest").groupBy("digest", "kind", "n_a", "n_b", own.alias("own")).agg(F.collect_list("pos").alias("list"))
+    a = blocks.where(one).select("digest", F.col("own").alias("block_a"), F.explode(F.expr("sequence(0, n_b - 1)")).alias("block_b"), F.col("list").alias("a"))
+    b = blocks.where(~one).select("digest", F.explode(F.expr("sequence(0, n_a - 1)")).alias("block_a"), F.col("own").alias("block_b"), F.col("list").alias("b"))
+    # a stated number of partitions: adaptive execution would gather the blocks, whose bytes are few beside their pairs
+    on, parts = ["digest", "block_a", "block_b"], int(addresses.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = a.repartition(parts, *on).join(b.repartition(parts, *on), on)
+    # this coalesce gathers nothing; it parts the generated code, which would hold all pairs of two blocks at once
+    pairs = pairs.select(F.explode("a").alias("a"), "b").coalesce(parts).select("a", F.explode("b").alias("b")).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("pos_a"), F.greatest("a", "b").alias("pos_b"))
 
 
 def separations(groups: DataFrame, breaks: DataFrame) -> DataFrame:
